@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat, licenses, quality
 from .packing import pack
 from .tokens import count_tokens
 
@@ -13,13 +14,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.sql("SELECT -1L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
+    return chat.digest(chat.format_chats(told.unionByName(added)))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_packing": op5_packing, "op10_token_counts": op10_token_counts}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op4_chat_formatting": op4_chat_formatting,
+    "op5_packing": op5_packing,
+    "op6_quality_rules": op6_quality_rules,
+    "op9_license_scan": op9_license_scan,
+    "op10_token_counts": op10_token_counts,
+}
+ORACLES = {"op4_chat_formatting": chat.oracle(), "op6_quality_rules": quality.oracle(), "op9_license_scan": licenses.oracle()}
