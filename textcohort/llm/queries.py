@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, licenses, mixing, quality
+from . import chat, langid, lattice, licenses, mixing, quality
 from .packing import pack
 from .tokens import count_tokens
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.detect(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_lattice_dedup": op2_lattice_dedup,
     "op3_language_id": op3_language_id,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_packing": op5_packing,
@@ -67,4 +72,4 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES = {"op4_chat_formatting": chat.oracle(), "op6_quality_rules": quality.oracle(), "op9_license_scan": licenses.oracle()}
+ORACLES = {"op2_lattice_dedup": lattice.oracle(), "op4_chat_formatting": chat.oracle(), "op6_quality_rules": quality.oracle(), "op9_license_scan": licenses.oracle()}
