@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, lattice, licenses, mixing, quality
+from . import bagmin, chat, langid, lattice, licenses, mixing, quality
 from .packing import pack
 from .tokens import count_tokens
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagmin.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op2_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -63,6 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_lattice_dedup": op2_lattice_dedup,
     "op3_language_id": op3_language_id,
     "op4_chat_formatting": op4_chat_formatting,
