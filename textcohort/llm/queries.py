@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagmin, chat, langid, lattice, licenses, mixing, quality
+from . import bagmin, chat, langid, lattice, licenses, mixing, quality, suffixes
 from .packing import pack
 from .tokens import count_tokens
 
@@ -40,6 +40,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def domain() -> Column:
     """The mixture's top level: two groups of sources, and all others."""
     number = F.try_to_number(F.regexp_extract("source", "^src([0-9]{1,6})$", 1), F.lit("999999"))
@@ -73,6 +77,7 @@ QUERIES = {
     "op4_chat_formatting": op4_chat_formatting,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op9_license_scan": op9_license_scan,
     "op10_token_counts": op10_token_counts,
