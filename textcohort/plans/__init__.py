@@ -1 +1,6 @@
-"""Part of the textcohort package."""
+"""Registered queries, by inventory."""
+
+from . import metrics
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "metrics"]
