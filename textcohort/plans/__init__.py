@@ -1,6 +1,6 @@
 """Registered queries, by inventory."""
 
-from . import metrics
+from . import analysis, metrics, operations, relational, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "metrics"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "metrics", "operations", "relational", "text"]

@@ -190,9 +190,9 @@ def w11(t):
     return R.top_rows(got.withColumn("all", F.lit(0)), ["all"], [F.asc("m"), F.asc("modality")], 1_000_000, "position").drop("all")
 
 
-@query("A08", "SELECT case_id, model_key, round(avg(y_prob), 6) AS y_prob, round(avg(y_value), 4) AS y_value, max(y_bin) AS y_bin, string_agg(DISTINCT CAST(split_id AS VARCHAR), ';' ORDER BY CAST(split_id AS VARCHAR)) AS split_ids, count(*) AS n_predictions FROM pred_v GROUP BY 1, 2")
+@query("A08", "SELECT case_id, model_key, round(avg(y_prob), 6) AS y_prob, round(avg(y_value), 6) AS y_value, max(y_bin) AS y_bin, string_agg(DISTINCT CAST(split_id AS VARCHAR), ';' ORDER BY CAST(split_id AS VARCHAR)) AS split_ids, count(*) AS n_predictions FROM pred_v GROUP BY 1, 2")
 def a08(t):
-    return M.pooled(t.pred_v, ["case_id", "model_key"], ["y_prob", "y_value"], ["y_bin"]).withColumns({"y_prob": F.round("y_prob", 6), "y_value": F.round("y_value", 4)})
+    return M.pooled(t.pred_v, ["case_id", "model_key"], ["y_prob", "y_value"], ["y_bin"]).withColumns({"y_prob": F.round("y_prob", 6), "y_value": F.round("y_value", 6)})
 
 
 @query("A09", f"WITH {AREA.replace('model_key', 'dataset_key, model_key').replace('pred_v GROUP BY ALL', 'pred_v GROUP BY ALL')} SELECT dataset_key, model_key, round(sum(pos * (n_neg - fp) + 0.5 * pos * neg) / (max(n_pos) * max(n_neg)), 6) AS auroc FROM c GROUP BY 1, 2")

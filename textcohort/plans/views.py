@@ -57,7 +57,7 @@ def pairs_v(t: Tables) -> DataFrame:
         F.pmod(F.col("l_partkey"), F.lit(53)).cast("double").alias("y"),
         F.col("l_extendedprice").alias("price"),
         F.when(F.col("l_discount") > 0.05, 1).otherwise(0).cast("long").alias("bx"),
-        F.when(F.col("l_tax") > 0.04, 1).otherwise(0).cast("long").alias("by"),
+        F.when(F.col("l_tax") > 0.04, 1).otherwise(0).cast("long").alias("bz"),
     )
 
 
@@ -86,7 +86,7 @@ SQL = {
   o_totalprice AS y_true, o_totalprice * 0.5 + ((o_orderkey * 7919 + o_custkey) % 1000) * CAST(100.0 AS DOUBLE) AS y_value, CAST((o_orderkey * 7919 + o_custkey) % 1000 AS DOUBLE) / CAST(1000.0 AS DOUBLE) AS y_prob,
   CAST(o_orderstatus = 'F' AS BIGINT) AS y_bin, c_mktsegment AS dataset_key, CAST(c_nationkey AS BIGINT) AS site FROM orders JOIN customer ON o_custkey = c_custkey""",
     "pairs_v": """SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS g, l_linestatus AS s, l_quantity AS x, CAST(l_partkey % 53 AS DOUBLE) AS y, l_extendedprice AS price,
-  CAST(l_discount > 0.05 AS BIGINT) AS bx, CAST(l_tax > 0.04 AS BIGINT) AS by FROM lineitem""",
+  CAST(l_discount > 0.05 AS BIGINT) AS bx, CAST(l_tax > 0.04 AS BIGINT) AS bz FROM lineitem""",
     "metric_v": """SELECT l_returnflag || l_linestatus AS run_id, 'm' || k AS modality, CASE WHEN k % 2 = 0 THEN 'relapse' ELSE 'score' END AS target, raw_metric, value FROM (
   UNPIVOT (SELECT l_returnflag, l_linestatus, l_suppkey % 7 AS k, round(avg(l_quantity) / 50, 6) AS "AUROC", round(avg(l_discount), 6) AS mae, round(avg(l_tax), 6) AS "Brier", CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY ALL)
   ON "AUROC", mae, "Brier", n INTO NAME raw_metric VALUE value)""",
