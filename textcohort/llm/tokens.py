@@ -34,9 +34,10 @@ def _fit(model: bpe.PrefixBpe, data: np.ndarray, starts: np.ndarray, ends: np.nd
 
 
 def prefix_counts(text: str | None, path: str | None = None) -> np.ndarray:
-    """Token counts of all byte prefixes of a text that end inside or at the end of its pretokens.
+    """Token counts of all byte prefixes of a text, at every end of a code point.
 
-    Entry i is the count of the first i bytes; entries inside a code point belong to no text.
+    A prefix that ends in white space ends in one run of it, whatever follows in the text, and
+    one that cuts a contraction ends in the apostrophe and a letter; both are counted as such.
     """
     model = bpe.load(path or public_tokenizers.path(DEFAULT_TOKENIZER))
     data, offsets = _text.utf8(pa.array([text or ""]))
@@ -44,9 +45,19 @@ def prefix_counts(text: str | None, path: str | None = None) -> np.ndarray:
     out, done = np.zeros(len(data) + 1, np.int64), 0
     for s, e, k in zip(starts.tolist(), ends.tolist(), number.tolist(), strict=True):
         word = data[s:e].tobytes()
-        out[s + 1 : e + 1] = done + (np.array(model.one(word)[1][1:]) if model.counts[k] > 1 or word.decode() not in model.special else 1)
+        if word.decode() in model.special:
+            out[s + 1 : e + 1] = done + 1
+        else:
+            out[s + 1 : e + 1] = done + np.array(model.one(word)[1][1:])
+            if word in (b"'re", b"'ve", b"'ll"):
+                out[s + 2] = done + 2
         done += int(model.counts[k])
         out[e] = done
+    points, at = bpe.code_points(data)
+    first, stop = _text.runs(bpe.classes()[points] == bpe.SPACE, np.array([0, len(points)]))
+    edge = np.append(at, len(data))
+    for a, b in zip(edge[first].tolist(), edge[stop].tolist(), strict=True):
+        out[a + 1 : b + 1] = out[a] + np.array(model.one(data[a:b].tobytes())[1][1:])
     return out
 
 
