@@ -31,7 +31,7 @@ def test_regression_golden(spark):
 
 
 def test_correlations_golden(spark):
-    df = spark.createDataFrame(list(zip([1.0, 2, 3, 4, 5], [2.0, 4, 5, 4, 5], strict=True)), "x double, y double").withColumn("g", F.lit(1))
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 5.0), (4.0, 4.0), (5.0, 5.0)], "x double, y double").withColumn("g", F.lit(1))
     got = one(M.regression(df, ["g"], "x", "y"))
     assert got["spearman_rho"] == pytest.approx(0.7379, abs=1e-4) and got["pearson_r"] == pytest.approx(0.7746, abs=1e-4)
 

@@ -303,7 +303,7 @@ def coefficients(df: DataFrame, by: list[str], features: list[str], models: list
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, test = _group(pdf, features)
-        out = [pd.DataFrame({"model": [], "feature": [], "coefficient": [], "parameter": []})]
+        out = [pd.DataFrame({"model": pd.Series(dtype=object), "feature": pd.Series(dtype=object), "coefficient": pd.Series(dtype=float), "parameter": pd.Series(dtype=float)})]
         for m in models:
             if not skip_reason(y, MODELS[m][0]):
                 _, w, _, g = fit_predict(m, x, y, test[features].to_numpy(float))

@@ -411,10 +411,10 @@ def r08(t):
     return wide.unpivot("p_partkey", ["size", "price"], "name", "value").where("value IS NOT NULL")
 
 
-@query("R09", "SELECT raw_metric, printf('%.3f', max(value) FILTER (run_id = 'AF')) || ' vs ' || printf('%.3f', max(value) FILTER (run_id = 'RF')) AS cell FROM metric_v WHERE raw_metric <> 'n' GROUP BY 1")
+@query("R09", "SELECT raw_metric, printf('%.6f', max(value) FILTER (run_id = 'AF')) || ' vs ' || printf('%.6f', max(value) FILTER (run_id = 'RF')) AS cell FROM metric_v WHERE raw_metric <> 'n' GROUP BY 1")
 def r09(t):
     got = t.metric_v.where("raw_metric <> 'n'").groupBy("raw_metric").pivot("run_id", ["AF", "RF"]).agg(F.max("value"))
-    return got.select("raw_metric", F.format_string("%.3f vs %.3f", "AF", "RF").alias("cell"))
+    return got.select("raw_metric", F.when(F.col("AF").isNotNull() & F.col("RF").isNotNull(), F.format_string("%.6f vs %.6f", "AF", "RF")).alias("cell"))
 
 
 @query("R10", "SELECT a.modality, a.value AS a__value, b.value AS b__value FROM metric_v a JOIN metric_v b ON a.modality = b.modality AND a.raw_metric = 'mae' AND b.raw_metric = 'mae' AND a.run_id = 'AF' AND b.run_id = 'RF'")
