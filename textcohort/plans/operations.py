@@ -417,3 +417,45 @@ def h12(t):
     """Histogram of 25 equal bins, the table behind a residual plot."""
     b = F.least(F.greatest(F.floor(F.col("y") / 2.0 + 1), F.lit(1)), F.lit(25)).cast("long")
     return t.pairs_v.groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
+
+
+# ----- planning
+
+
+@query("P28", "SELECT mode FROM (VALUES ('a'), ('b')) m(mode)")
+def p28(t):
+    """Modes that need extraction: single texts, however they are combined later."""
+    wanted = t.spark.createDataFrame([("a",), ("b",), ("both",)], "mode string")
+    needs = t.spark.createDataFrame([("a", "a"), ("b", "b"), ("both", "a"), ("both", "b")], "mode string, needed string")
+    return wanted.join(F.broadcast(needs), "mode").select(F.col("needed").alias("mode")).distinct()
+
+
+@query("P32", "SELECT c_custkey AS custkey, c_nationkey AS nationkey, s_name FROM customer JOIN supplier ON c_custkey = s_suppkey AND c_nationkey = s_nationkey")
+def p32(t):
+    """Tables joined on the key columns that both have."""
+    bare = lambda df, p: df.select(*(F.col(c).alias(c.removeprefix(p)) for c in df.columns))
+    a, b = bare(t.customer, "c_"), bare(t.supplier, "s_").withColumnRenamed("suppkey", "custkey").withColumnRenamed("name", "s_name").drop("acctbal")
+    keys = [c for c in a.columns if c in b.columns]
+    return a.join(b, keys).select("custkey", "nationkey", "s_name")
+
+
+def _echo(text):
+    return json.dumps({"length": len(text)})
+
+
+def _is_object(answer):
+    return answer.startswith("{")
+
+
+@query("E01", "SELECT case_id, length(text_b) AS length, 1 AS attempts FROM cases_v WHERE lang = 'en'")
+def e01(t):
+    """One call per request through the extractor interface, here with a local stand-in for the service."""
+    got = E.call_extractor(_echo, _is_object)(_requests(t).select("case_id", "text"))
+    return got.select("case_id", F.from_json("answer", "length long")["length"].alias("length"), "attempts")
+
+
+@query("E04", "SELECT 'en' AS lang, count(*) AS n, true AS capped FROM cases_v WHERE lang = 'en'")
+def e04(t):
+    """At most two tasks ask at a time."""
+    got = E.call_extractor(_echo, _is_object, most_at_once=2)(_requests(t).select("case_id", "text"))
+    return got.withColumn("task", F.spark_partition_id()).agg(F.count("*").alias("n"), (F.count_distinct("task") <= 2).alias("capped")).select(F.lit("en").alias("lang"), "n", "capped")
