@@ -10,8 +10,8 @@ bags agree in a component with the probability of their weighted Jaccard similar
 later than the slowest component can't matter, which bounds the work per document.
 
 Equal bags are one class.  Classes that agree in a band are candidates; links are decided by
-the exact overlap of the bags.  Within a bucket all are compared with the first member; what
-is not connected then is compared with all the bucket's members of other components.
+the exact overlap of the bags.  Within a bucket all are compared with its most central member;
+what is not connected then is compared with the bucket's members of other components.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
@@ -32,6 +32,8 @@ from ._spark import Scratch, free_shuffles
 from ._text import U64, mix64
 
 SHINGLE = 5
+MAX_TURNS = 2
+MISSED = 1e-5
 _GOLD = U64(0x9E3779B97F4A7C15)
 
 
@@ -47,6 +49,16 @@ class Bands:
     def size(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def fewest(self) -> int:
+        """Components that a pair at the least similarity shares but with probability MISSED."""
+        total, k = 0.0, 0
+        while True:
+            total += math.comb(self.size, k) * self.least**k * (1 - self.least) ** (self.size - k)
+            if total > MISSED:
+                return k
+            k += 1
+
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -142,11 +154,13 @@ def _sign(bands: Bands):
                 np.add.at(h1, row, mix64(key) * count.astype(U64))
                 np.add.at(h2, row, mix64(key ^ U64(0xA0761D6478BD642F)) * count.astype(U64))
                 times = signatures(n, row, key, count, bands.size).view(U64).reshape(n * bands.bands, bands.rows)
+                small = mix64(times.ravel()).astype(np.int8)  # a byte a component, for estimates
+                brief = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands.size + 1, bands.size, dtype=np.int32)), pa.array(small))
                 mark = np.zeros(n * bands.bands, U64)
                 for k in range(bands.rows):
                     mark = mix64(mark * _GOLD + times[:, k])
                 marks = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands.bands + 1, bands.bands, dtype=np.int32)), pa.array(mark.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(weight), marks], names=["id", "h1", "h2", "weight", "marks"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(weight), marks, brief], names=["id", "h1", "h2", "weight", "marks", "brief"])
 
     return run
 
@@ -179,6 +193,19 @@ def _verify(least: float):
     return run
 
 
+def _lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles of the classes in a batch: key, a class that has it, its count there, and whether several here have it."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for i, _, row, key, count in bags(batch.column(1)):
+            order = np.argsort(key, kind="stable")
+            ranked = key[order]
+            first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, np.int64)
+            owner = ids[i + row[order]]
+            several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first) if len(first) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(ranked[first].view(np.int64)), pa.array(owner[first]), pa.array(count[order][first].astype(np.int64)), pa.array(several)], names=["key", "c", "n", "several"])
+
+
 def near_copies(docs: DataFrame, bands: Bands = Bands(), key: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
     """Per row: key, class_id, kept.
 
@@ -186,50 +213,91 @@ def near_copies(docs: DataFrame, bands: Bands = Bands(), key: str = "doc_id", te
     reach; kept marks rows whose key it is.  Null texts and texts without a word link with
     nothing and are kept, as are rows without a key, whose class_id is null; equal texts are one
     class, also as repeated rows; an empty table gives an empty table; other columns aren't read.
+
+    A bucket's members are first compared with its most central one, that with the least share
+    of shingles which no other candidate has.  Those shingles also bound a pair's overlap.  While
+    much is still apart, one odd member per bucket and turn is compared with all others, so that
+    crowds of copies of copies join up; of the rest all pairs are compared whose signatures agree
+    in `fewest` components, which a pair at the least similarity misses with probability 1e-5.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = scratch.write(plain.mapInArrow(_sign(bands), "id long, h1 long, h2 long, weight long, marks array<long>"))
+    signed = scratch.write(plain.mapInArrow(_sign(bands), "id long, h1 long, h2 long, weight long, marks array<long>, brief array<tinyint>"))
     usable = (F.col("weight") > 0) & F.col("id").isNotNull()
-    classes = scratch.write(signed.where(usable).groupBy("h1", "h2").agg(F.min("id").alias("name"), F.first("weight").alias("weight"), F.first("marks").alias("marks")))
-    told = classes.select(F.col("h1").alias("c"), "weight", F.posexplode("marks").alias("band", "mark"))
+    classes = scratch.write(signed.where(usable).groupBy("h1", "h2").agg(F.min("id").alias("name"), F.first("weight").alias("weight"), F.first("marks").alias("marks"), F.first("brief").alias("brief")))
     bucket = ["band", "mark"]
-    first = told.groupBy(*bucket).agg(F.min(F.struct("c", "weight")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    met = scratch.write(told.join(first, bucket).select(*bucket, "c", "weight", F.col("f.c").alias("first"), F.col("f.weight").alias("first_weight")))
-    alike = lambda x, y: F.least(x, y) >= F.lit(bands.least) * F.greatest(x, y) - 1e-9
+    told = classes.select(F.col("h1").alias("c"), "weight", F.posexplode("marks").alias("band", "mark"))
+    crowded = told.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    met = scratch.write(told.join(crowded, bucket))
+    names = classes.select(F.col("h1").alias("c"), F.col("name").alias("id")).join(met.select("c").distinct(), "c", "left_semi")
+    # a repeated key may come with several texts: all are compared, which can't miss a link of the class
+    texts = scratch.write(plain.join(names, "id").select("c", "text"))
+    free_shuffles(spark)
+    keys = texts.mapInArrow(_lone, "key long, c long, n long, several boolean").groupBy("key").agg(F.count("*").alias("k"), F.bool_or("several").alias("several"), F.min("c").alias("low"), F.max("c").alias("high"), F.sum("n").alias("n"))
+    lone = keys.where("NOT several AND low = high").groupBy(F.col("low").alias("c")).agg(F.sum("n").alias("lone"))
+    met = scratch.write(met.join(lone, "c", "left").select(*bucket, "c", "weight", F.greatest(F.col("weight") - F.coalesce("lone", F.lit(0)), F.lit(0)).alias("shared")))
+    free_shuffles(spark)
+    central = F.struct((-F.floor(1000 * F.col("shared") / F.col("weight"))).alias("order"), "c", "weight", "shared")
+    first = met.groupBy(*bucket).agg(F.min(central).alias("f"))
+    least = F.lit(bands.least)
+
+    def may(wx: str, sx: str, wy: str, sy: str) -> Column:
+        """Whether the weights and the shared shingles allow the similarity."""
+        return (F.least(wx, wy) >= least * F.greatest(wx, wy) - 1e-9) & ((1 + least) * F.least(sx, sy) >= least * (F.col(wx) + F.col(wy)) - 1e-9)
+
     ordered = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    star = met.where((F.col("c") != F.col("first")) & alike(F.col("weight"), F.col("first_weight")))
-    tested = scratch.write(star.select(F.col("c").alias("x"), F.col("first").alias("y")).select(*ordered).distinct())
-    names = classes.select(F.col("h1").alias("c"), F.col("name").alias("id"))
+    star = met.join(first, bucket).select(F.col("c").alias("x"), F.col("weight").alias("wx"), F.col("shared").alias("sx"), F.col("f.c").alias("y"), F.col("f.weight").alias("wy"), F.col("f.shared").alias("sy"))
+    tested = scratch.write(star.where((F.col("x") != F.col("y")) & may("wx", "sx", "wy", "sy")).select(*ordered).distinct())
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = names.join(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c", "left_semi")
-        # a repeated key may come with several texts: all are compared, which can't miss a link of the class
-        texts = scratch.write(plain.join(wanted, "id").select("c", "text"))
         left, right = texts.select(F.col("c").alias("a"), F.col("text").alias("s")), texts.select(F.col("c").alias("b"), F.col("text").alias("t"))
         out = scratch.write(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(_verify(bands.least), "a long, b long"))
-        scratch.drop(texts)
         free_shuffles(spark)
         return out
 
     links = verify(tested)
     reach = scratch.write(components(links, scratch))
-    label = reach.select(F.col("id").alias("c"), "component")
-    now = scratch.write(met.join(label, "c", "left").select(*bucket, "c", "weight", F.coalesce("component", "c").alias("component")))
-    apart = now.groupBy(*bucket, "component").agg(F.count("*").alias("n")).groupBy(*bucket).agg(F.count("*").alias("parts"), F.max(F.struct("n", "component"))["component"].alias("main")).where("parts > 1").drop("parts")
-    rest = now.join(apart, bucket)
-    odd = rest.where("component <> main").select(*bucket, F.col("c").alias("x"), F.col("weight").alias("wx"), F.col("component").alias("cx"))
-    other = rest.select(*bucket, F.col("c").alias("y"), F.col("weight").alias("wy"), F.col("component").alias("cy"), "main")
-    more = odd.join(other, bucket).where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & alike(F.col("wx"), F.col("wy")))
+
+    def apart() -> DataFrame:
+        """Members of buckets with several components, those of the largest one marked; others only if they may link at all."""
+        label = reach.select(F.col("id").alias("c"), "component")
+        now = met.join(label, "c", "left").select(*bucket, "c", "weight", "shared", F.coalesce("component", "c").alias("component"))
+        parts = now.groupBy(*bucket, "component").agg(F.count("*").alias("n")).groupBy(*bucket)
+        main = parts.agg(F.count("*").alias("parts"), F.max(F.struct("n", "component"))["component"].alias("main")).where("parts > 1").drop("parts")
+        live = (F.col("component") == F.col("main")) | (F.col("shared") >= least * F.col("weight") - 1e-9)
+        return scratch.write(now.join(main, bucket).where(live))
+
+    for turn in range(MAX_TURNS):
+        rest = apart()
+        size = rest.groupBy(*bucket).agg(F.count("*").alias("n"), F.count_if(F.col("component") != F.col("main")).alias("odd"))
+        work = size.agg(F.sum(F.col("n") * F.col("odd")).alias("pairs"), F.sum("n").alias("n")).first()
+        if (work.pairs or 0) <= 4 * (work.n or 0):
+            break
+        # one of the odd members of each bucket, another one in each turn and band, against all others
+        pick = F.struct(F.xxhash64("c", "band", F.lit(turn)).alias("order"), "c", "weight", "shared", "component")
+        odd = rest.where("component <> main").groupBy(*bucket).agg(F.min(pick).alias("f"))
+        pairs = rest.join(odd, bucket).where((F.col("component") != F.col("f.component"))).select(F.col("c").alias("x"), F.col("weight").alias("wx"), F.col("shared").alias("sx"), F.col("f.c").alias("y"), F.col("f.weight").alias("wy"), F.col("f.shared").alias("sy"))
+        fresh = scratch.write(pairs.where(may("wx", "sx", "wy", "sy")).select(*ordered).distinct().join(tested, ["a", "b"], "left_anti"))
+        tested = tested.unionByName(fresh)
+        links = links.unionByName(verify(fresh))
+        reach = scratch.write(components(links, scratch))
+    rest = apart().join(classes.select(F.col("h1").alias("c"), "marks", "brief"), "c")
+    odd = rest.where("component <> main").select(*bucket, F.col("c").alias("x"), F.col("weight").alias("wx"), F.col("shared").alias("sx"), F.col("component").alias("cx"), F.col("marks").alias("mx"), F.col("brief").alias("bx"))
+    other = rest.select(*bucket, F.col("c").alias("y"), F.col("weight").alias("wy"), F.col("shared").alias("sy"), F.col("component").alias("cy"), "main", F.col("marks").alias("my"), F.col("brief").alias("by"))
+    # a pair that shares several bands is made in the first of them only
+    once = F.array_position(F.zip_with("mx", "my", lambda p, q: p == q), True) == F.col("band") + 1
+    alike = F.aggregate(F.zip_with("bx", "by", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, e: n + e) >= bands.fewest
+    more = odd.join(other, bucket).where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & may("wx", "sx", "wy", "sy") & once & alike)
+    # in the first band a pair's roles may differ from those in others, so both orders can come
     more = scratch.write(more.select(*ordered).distinct().join(tested, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         links = links.unionByName(verify(more))
         reach = scratch.write(components(links, scratch))
     label = reach.select(F.col("id").alias("h1"), F.col("component"))
     joined = scratch.write(classes.select("h1", "h2", "name").join(label, "h1", "left").select("h1", "h2", "name", F.coalesce("component", "h1").alias("component")))
-    least = joined.groupBy("component").agg(F.min("name").alias("class_id"))
-    named = joined.join(least, "component").select("h1", "h2", "class_id")
+    low = joined.groupBy("component").agg(F.min("name").alias("class_id"))
+    named = joined.join(low, "component").select("h1", "h2", "class_id")
     out = signed.select("id", F.when(usable, F.col("h1")).alias("h1"), F.when(usable, F.col("h2")).alias("h2")).join(named, ["h1", "h2"], "left")
     name = F.coalesce("class_id", "id")
     return out.select(F.col("id").alias(key), name.alias("class_id"), F.coalesce(F.col("id") == name, F.lit(True)).alias("kept"))
