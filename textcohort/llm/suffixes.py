@@ -9,11 +9,11 @@ smaller key.  Documents are grouped in chunks of a few megabytes, the shards of
    Only anchors that two different texts have can matter.
 2. For these, the run's bytes are sent once per chunk and content, with the least key, to the
    shard of the anchor.  All copies of a string meet there.
-3. A shard sorts its suffixes as Larsson and Sadakane do: by eight bytes, then, only within
+3. A shard sorts its suffixes as Larsson and Sadakane do: by a few bytes, then, only within
    groups still equal, by the ranks of what follows at doubled distance.  Common prefixes of
-   neighbours, taken in Kasai's permuted order but compared by whole words, as his carry from
-   one suffix to the next can't be vectorised, give the intervals of equal strings and each
-   one's least key.
+   neighbours give the intervals of equal strings and each one's least key.  They are Kasai's,
+   but compared by whole words up to the needed length: his carry from one suffix to the next
+   is a sequential scan, which numpy can't run as one pass.
 4. The chunks look up their runs' answers and cut.
 
 An anchor that very many chunks have doesn't go to one shard: its strings are sent one by one
@@ -130,7 +130,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, plan: Plan) -> tuple[np.ndarr
     stop = np.empty(n, bool)
     stop[-1] = True
     stop[:-1] = begin[1:] | ~whole[1:]
-    return starts, np.flatnonzero(stop & whole), low[starts]
+    # least hashes crowd at the low end; mixed again, they spread evenly over buckets and shards
+    return starts, np.flatnonzero(stop & whole), mix64(low[starts] ^ _GOLD)
 
 
 def _texts(batch: pa.RecordBatch, r: int, at: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -292,67 +293,76 @@ def _send(plan: Plan, buckets: int):
 def suffix_order(data: np.ndarray, wanted: np.ndarray, least: int) -> np.ndarray:
     """wanted positions in the order of their first `least` bytes; each has as many to its end.
 
-    Sorted by eight bytes first; then groups that are still equal are refined by the ranks at
-    the doubled distance until `least` bytes are covered.
+    Sorted by the first bytes; then groups that are still equal are refined by the ranks at the
+    doubled distance until `least` bytes are covered.
     """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    word = np.zeros(n, U64)
-    for k in range(8):
-        word = word << U64(8) | padded[k : k + n].astype(U64)
-    order = np.argsort(word, kind="stable")
-    rank = np.empty(n, np.int64)
-    changed = np.append(False, word[order][1:] != word[order][:-1])
-    rank[order] = np.cumsum(changed)
+    bits = n.bit_length()
+    word = _words(data)
+    if bits <= 24:  # five bytes and the position fit one number, which sorts faster than an index
+        packed = np.sort(word >> U64(24) << U64(24) | np.arange(n, dtype=U64))
+        order, changed, known = (packed & U64((1 << 24) - 1)).astype(np.int64), np.diff(packed >> U64(24)) != 0, 5
+    else:
+        order = np.argsort(word)
+        changed, known = np.diff(word[order]) != 0, 8
     # a rank is the place of its group's first member, so refining a group leaves the others' ranks
-    place = np.flatnonzero(np.append(True, changed[1:]))
-    rank = place[rank]
-    known = 8
+    head = _heads(changed)
+    rank = np.empty(n, np.int64)
+    rank[order] = head
     while known < least:
         step = min(known, least - known)
-        size = np.bincount(rank, minlength=n)
-        open_ = order[size[rank[order]] > 1]
-        if not len(open_):
+        same = head[1:] == head[:-1]
+        where = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        if not len(where):
             break
-        follow = np.where(open_ + step < n, rank[np.minimum(open_ + step, n - 1)], -1)
-        key = rank[open_].astype(U64) << U64(32) | (follow + 1).astype(U64)
-        sub = np.argsort(key, kind="stable")
-        open_, key = open_[sub], key[sub]
-        where = np.flatnonzero(size[rank[order]] > 1)
+        open_ = order[where]
+        follow = rank[np.minimum(open_ + step, n - 1)] + 1
+        follow[open_ + step >= n] = 0
+        key = head[where].astype(U64) << U64(bits) | follow.astype(U64)
+        if 3 * bits <= 64:
+            key = np.sort(key << U64(bits) | np.arange(len(key), dtype=U64))
+            open_, key = open_[(key & U64((1 << bits) - 1)).astype(np.int64)], key >> U64(bits)
+        else:
+            sub = np.argsort(key)
+            open_, key = open_[sub], key[sub]
         order[where] = open_
-        new = np.append(True, key[1:] != key[:-1])
-        rank = rank.copy()
-        rank[open_] = where[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        head[where] = where[_heads(key[1:] != key[:-1])]
+        rank[open_] = head[where]
         known += step
     mask = np.zeros(n, bool)
     mask[wanted] = True
     return order[mask[order]]
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix, up to `most` bytes, of each position in the order with the one before it.
+def _heads(changed: np.ndarray) -> np.ndarray:
+    """For each member of a sorted sequence, the place of the first one equal to it."""
+    starts = np.append(0, np.flatnonzero(changed) + 1)
+    return np.repeat(starts, np.diff(np.append(starts, len(changed) + 1)))
 
-    Pairs are taken in text order, so that neighbouring comparisons read neighbouring bytes.
-    """
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, zeros beyond the end, as numbers that sort alike."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    out = np.zeros(len(data), U64)
+    for k in range(8):
+        out = out << U64(8) | padded[k : k + len(data)].astype(U64)
+    return out
+
+
+def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """Common prefix of each position in the order with the one before it: up to `most` bytes, below that in steps of eight."""
     out = np.zeros(len(order), np.int64)
     if len(order) < 2:
         return out
-    by_text = np.argsort(order[1:], kind="stable")
-    i, j = order[1:][by_text], order[:-1][by_text]
-    found = np.zeros(len(i), np.int64)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    word = np.zeros(len(data), U64)
-    for k in range(8):
-        word = word << U64(8) | padded[k : k + len(data)].astype(U64)
-    left = np.arange(len(i))
+    i, j = order[1:], order[:-1]
+    found, left, word = np.zeros(len(i), np.int64), np.arange(len(i)), _words(data)
     for done in range(0, most - 7, 8):
         left = left[word[i[left] + done] == word[j[left] + done]]
         found[left] = done + 8
-    rest = most - most % 8
-    for done in range(rest, most):
+    for done in range(most - most % 8, most):
         left = left[data[i[left] + done] == data[j[left] + done]]
         found[left] = done + 1
-    out[1:][by_text] = found
+    out[1:] = found
     return out
 
 
