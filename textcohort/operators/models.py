@@ -1,8 +1,8 @@
 """Small linear models, one per (split, dataset, model) group, fanned out as rows.
 
-Each group is a cohort of some hundred cases, so groups are fitted side by side by numpy inside
-`applyInPandas`; a group beyond MAX_ROWS is refused there and belongs to `gram_ridge`, which fits
-from sums of products that Spark adds up and so takes any number of rows.
+Groups are fitted side by side by numpy inside `applyInPandas`, each on all of its training rows,
+which one task holds.  Test rows aren't gathered: Spark scores each one with its group's model.
+`gram_ridge` fits from sums of products that Spark adds up and so takes any number of rows.
 """
 
 from __future__ import annotations
@@ -11,10 +11,9 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROWS = 200_000
 ZERO = 1e-12
 
 
@@ -241,8 +240,8 @@ def skip_reason(y: np.ndarray, task: str) -> str | None:
     return "few rows" if len(y) < 3 else "constant" if np.ptp(y) == 0 else None
 
 
-def fit_predict(model: str, x: np.ndarray, y: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """Predictions, coefficients, intercept and chosen parameter after an inner grid search."""
+def fit_best(model: str, x: np.ndarray, y: np.ndarray) -> tuple[Prepare, np.ndarray, float, float]:
+    """Preparation, coefficients, intercept and chosen parameter after an inner grid search."""
     task, fit, grid = MODELS[model]
     fold = folds(y, task)
 
@@ -259,62 +258,92 @@ def fit_predict(model: str, x: np.ndarray, y: np.ndarray, new: np.ndarray) -> tu
 
     best = min(grid, key=lambda g: (loss(g), grid.index(g)))
     p = Prepare(x)
-    z = p(x)
-    w, b = fit(z, y, best)
-    margin = p(new) @ w + b
-    if task == "class":
-        slope, offset = platt(z @ w + b, y) if model == "linear_svm" else (1.0, 0.0)
-        margin = sigmoid(slope * margin + offset)
-    return margin, p.widen(w), float(b), float(best)
+    w, b = fit(p(x), y, best)
+    return p, w, float(b), float(best)
 
 
-PREDICTIONS = "row_id long, model string, status string, y_true double, y_pred double"
+LINEAR = "model string, status string, median array<double>, mean array<double>, sd array<double>, weight array<double>, intercept double, slope double, offset double"
 COEFFICIENTS = "model string, feature string, coefficient double, parameter double"
 
 
-def _group(pdf: pd.DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndarray, pd.DataFrame]:
-    if len(pdf) > MAX_ROWS:
-        raise ValueError(f"a group has {len(pdf)} rows; fit it with gram_ridge")
-    train = pdf[(pdf.role == "train") & pdf.target.notna()].sort_values("row_id")
-    return train[features].to_numpy(float), train.target.to_numpy(float), pdf[pdf.role == "test"].sort_values("row_id")
+def _linear(model: str, status: str, p: Prepare | None = None, w: np.ndarray | None = None, b: float = 0.0, slope: float = 1.0, offset: float = 0.0) -> dict:
+    """A row of LINEAR: what Spark needs to score rows; weights of filtered features are 0."""
+    if p is None:
+        return dict.fromkeys(("median", "mean", "sd", "weight"), None) | {"model": model, "status": status, "intercept": None, "slope": None, "offset": None}
+    mean, sd = np.zeros(len(p.keep)), np.ones(len(p.keep))
+    mean[p.keep], sd[p.keep] = p.mean, p.sd
+    return {"model": model, "status": status, "median": p.median.tolist(), "mean": mean.tolist(), "sd": sd.tolist(), "weight": p.widen(w).tolist(), "intercept": float(b), "slope": float(slope), "offset": float(offset)}
 
 
-def predictions(df: DataFrame, by: list[str], features: list[str], models: list[str]) -> DataFrame:
-    """Held-out predictions of every model in every group; columns row_id, role, target and features."""
+def _training(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    return df.where((F.col("role") == "train") & F.col("target").isNotNull() & ~F.isnan("target")).select(*dict.fromkeys([*by, "row_id", "target", *columns]))
+
+
+def _fitted(df: DataFrame, by: list[str], columns: list[str], fit: Callable[[pd.DataFrame], list[dict]], schema: str) -> DataFrame:
+    """The rows that fit makes of each group's training rows."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, test = _group(pdf, features)
-        out = []
-        for m in models:
-            why = skip_reason(y, MODELS[m][0])
-            score = np.full(len(test), np.nan) if why else fit_predict(m, x, y, test[features].to_numpy(float))[0]
-            out.append(pd.DataFrame({"row_id": test.row_id, "model": m, "status": why or "fit", "y_true": test.target, "y_pred": score}))
-        got = pd.concat(out, ignore_index=True)
+        got = pd.DataFrame(fit(pdf.sort_values("row_id")), columns=names)
         for k in by:
             got[k] = pdf[k].iloc[0]
         return got
 
     keys = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
-    return df.select(*by, "row_id", "role", "target", *features).groupBy(*by).applyInPandas(run, f"{PREDICTIONS}, {keys}")
+    return _training(df, by, columns).groupBy(*by).applyInPandas(run, f"{schema}, {keys}")
+
+
+def _margin(features: list[str], weight: str, intercept: str) -> Column:
+    out = F.col(intercept)
+    for j in range(len(features)):
+        x = F.col(f"__x{j}")
+        filled = F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.col("median")[j]).otherwise(x)
+        out = out + F.col(weight)[j] * ((filled - F.col("mean")[j]) / F.col("sd")[j])
+    return out
+
+
+def _tested(df: DataFrame, by: list[str], features: list[str], models: list[str], fits: DataFrame, keep: list[Column]) -> DataFrame:
+    """Each test row with each model's row of LINEAR, status `empty` where the group has no training rows."""
+    test = df.where("role = 'test'").select(*(F.col(k).alias(f"__by{i}") for i, k in enumerate(by)), *keep, *(F.col(f).cast("double").alias(f"__x{j}") for j, f in enumerate(features)), F.explode(F.array(*map(F.lit, models))).alias("__model"))
+    on = F.col("__model") == F.col("model")
+    for i, k in enumerate(by):
+        on &= F.col(f"__by{i}").eqNullSafe(F.col(k))
+    joined = test.join(fits, on, "left").drop("model", *by).withColumnsRenamed({"__model": "model"} | {f"__by{i}": k for i, k in enumerate(by)})
+    return joined.withColumn("status", F.coalesce("status", F.lit("empty")))
+
+
+def predictions(df: DataFrame, by: list[str], features: list[str], models: list[str]) -> DataFrame:
+    """Predictions of every model for every test row of every group; columns row_id, role, target and features."""
+
+    def fit(pdf: pd.DataFrame) -> list[dict]:
+        x, y, out = pdf[features].to_numpy(float), pdf.target.to_numpy(float), []
+        for m in models:
+            if why := skip_reason(y, MODELS[m][0]):
+                out.append(_linear(m, why))
+                continue
+            p, w, b, _ = fit_best(m, x, y)
+            out.append(_linear(m, "fit", p, w, b, *(platt(p(x) @ w + b, y) if m == "linear_svm" else (1.0, 0.0))))
+        return out
+
+    got = _tested(df, by, features, models, _fitted(df, by, features, fit, LINEAR), [F.col("row_id").cast("long").alias("row_id"), F.col("target").cast("double").alias("y_true")])
+    margin = _margin(features, "weight", "intercept")
+    z = F.least(F.greatest(F.col("slope") * margin + F.col("offset"), F.lit(-35.0)), F.lit(35.0))
+    score = F.when(F.col("model").isin([m for m in models if MODELS[m][0] == "class"]), 1 / (1 + F.exp(-z))).otherwise(margin)
+    return got.select("row_id", "model", "status", "y_true", score.alias("y_pred"), *by)
 
 
 def coefficients(df: DataFrame, by: list[str], features: list[str], models: list[str]) -> DataFrame:
     """Coefficients of the standardised features, 0 for features that were filtered out."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, test = _group(pdf, features)
-        out = [pd.DataFrame({"model": pd.Series(dtype=object), "feature": pd.Series(dtype=object), "coefficient": pd.Series(dtype=float), "parameter": pd.Series(dtype=float)})]
+    def fit(pdf: pd.DataFrame) -> list[dict]:
+        x, y, out = pdf[features].to_numpy(float), pdf.target.to_numpy(float), []
         for m in models:
             if not skip_reason(y, MODELS[m][0]):
-                _, w, _, g = fit_predict(m, x, y, test[features].to_numpy(float))
-                out.append(pd.DataFrame({"model": m, "feature": features, "coefficient": w, "parameter": g}))
-        got = pd.concat(out, ignore_index=True)
-        for k in by:
-            got[k] = pdf[k].iloc[0]
-        return got
+                p, w, _, g = fit_best(m, x, y)
+                out += [{"model": m, "feature": f, "coefficient": c, "parameter": g} for f, c in zip(features, p.widen(w).tolist(), strict=True)]
+        return out
 
-    keys = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
-    return df.select(*by, "row_id", "role", "target", *features).groupBy(*by).applyInPandas(run, f"{COEFFICIENTS}, {keys}")
+    return _fitted(df, by, features, fit, COEFFICIENTS)
 
 
 def teacher_student(df: DataFrame, by: list[str], teacher: list[str], student: list[str], cut: float) -> DataFrame:
@@ -324,33 +353,28 @@ def teacher_student(df: DataFrame, by: list[str], teacher: list[str], student: l
     no probability.  Errors aren't swallowed.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        train = pdf[(pdf.role == "train") & pdf.target.notna()].sort_values("row_id")
-        test = pdf[pdf.role == "test"].sort_values("row_id")
+    def fit(train: pd.DataFrame) -> list[dict]:
         y, xt, xs = train.target.to_numpy(float), train[teacher].to_numpy(float), train[student].to_numpy(float)
-        empty = pd.DataFrame({"row_id": test.row_id, "score": np.nan, "label": pd.array([None] * len(test), "Int32"), "relapse_score": np.nan})
-        if not skip_reason(y, "value"):
-            fold, oof = folds(y, "value"), np.zeros(len(y))
-            for k in np.unique(fold):
-                p = Prepare(xt[fold != k])
-                w, b = ridge(p(xt[fold != k]), y[fold != k])
-                oof[fold == k] = p(xt[fold == k]) @ w + b
-            p = Prepare(xs)
-            w, b = ridge(p(xs), np.column_stack([y, oof]))
-            score = (p(test[student].to_numpy(float)) @ w + b).mean(1)
-            known = train.relapse.notna().to_numpy()
-            relapse = np.full(len(test), np.nan)
-            if known.sum() >= 3:
-                wr, br = ridge(p(xs)[known], train.relapse.to_numpy(float)[known])
-                relapse = p(test[student].to_numpy(float)) @ wr + br
-            empty = pd.DataFrame({"row_id": test.row_id, "score": score, "label": pd.array((score >= cut).astype(int), "Int32"), "relapse_score": relapse})
-        for k in by:
-            empty[k] = pdf[k].iloc[0]
-        return empty
-
-    keys = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
-    columns = dict.fromkeys([*by, "row_id", "role", "target", "relapse", *teacher, *student])
-    return df.select(*columns).groupBy(*by).applyInPandas(run, f"row_id long, score double, label int, relapse_score double, {keys}")
+        if why := skip_reason(y, "value"):
+            return [_linear("score", why)]
+        fold, oof = folds(y, "value"), np.zeros(len(y))
+        for k in np.unique(fold):
+            p = Prepare(xt[fold != k])
+            w, b = ridge(p(xt[fold != k]), y[fold != k])
+            oof[fold == k] = p(xt[fold == k]) @ w + b
+        p = Prepare(xs)
+        w, b = ridge(p(xs), np.column_stack([y, oof]))
+        out = _linear("score", "fit", p, w.mean(1), b.mean())
+        known = train.relapse.notna().to_numpy()
+        if known.sum() >= 3:
+            wr, br = ridge(p(xs)[known], train.relapse.to_numpy(float)[known])
+            out |= {"relapse_weight": p.widen(wr).tolist(), "relapse_intercept": float(br)}
+        return [out]
+
+    fits = _fitted(df, by, ["relapse", *teacher, *student], fit, f"{LINEAR}, relapse_weight array<double>, relapse_intercept double")
+    got = _tested(df, by, student, ["score"], fits, [F.col("row_id").cast("long").alias("row_id")])
+    score = _margin(student, "weight", "intercept")
+    return got.select("row_id", score.alias("score"), (score >= cut).cast("int").alias("label"), _margin(student, "relapse_weight", "relapse_intercept").alias("relapse_score"), *by)
 
 
 def calibrated(df: DataFrame, by: list[str], truth: str, prob: str, digits: int = 4) -> DataFrame:

@@ -274,7 +274,7 @@ def h08(t):
 
 @query("H08p")
 def h08p(t):
-    return H.two_by_two(t.pairs_v.where("id % 20 = 1"), ["g"], "bx", "bz")
+    return H.two_by_two(t.pairs_v, ["g"], "bx", "bz")
 
 
 WILSON = "(p + 1.959963984540054 ** 2 / (2 * n) {} 1.959963984540054 * sqrt(p * (1 - p) / n + 1.959963984540054 ** 2 / (4 * n * n))) / (1 + 1.959963984540054 ** 2 / n)"
@@ -359,29 +359,31 @@ def x08(t):
 
 @query("X09")
 def x09(t):
-    weighed = X.poisson_bootstrap(t.pairs_v.where("id % 20 = 1").select("id", "g", "x", "bx"), "id", 200, 5)
+    weighed = X.poisson_bootstrap(t.pairs_v.select("id", "g", "x", "bx"), "id", 200, 5)
     mean = lambda k: F.sum(F.when(F.col("bx") == k, F.col("weight") * F.col("x"))) / F.sum(F.when(F.col("bx") == k, F.col("weight")))
     return X.intervals(weighed.groupBy("g", "replicate").agg((mean(1) - mean(0)).alias("difference")), ["g"], ["difference"])
 
 
 @query("X10")
 def x10(t):
-    p = t.pred_v.where("split_id = 1996").select("row_id", "y_prob", "y_bin")
+    """Each model's AUROC in each dataset, over all splits, against its labels permuted."""
+    by = ["dataset_key", "model_key"]
+    p = t.pred_v.select(*by, "row_id", "y_prob", "y_bin")
     each = p.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(49))))
     # a permuted label is the label of the row at the same place in another hash order
     from pyspark.sql import Window
 
-    w = Window.partitionBy("replicate")
+    w = Window.partitionBy(*by, "replicate")
     placed = each.withColumns({"i": F.row_number().over(w.orderBy("row_id")), "j": F.row_number().over(w.orderBy(X.uniform(F.col("row_id"), F.col("replicate")), "row_id"))})
-    labels = placed.select("replicate", F.col("j").alias("i"), F.col("y_bin").alias("permuted"))
-    null = M.auroc_auprc(placed.select("replicate", "i", "y_prob").join(labels, ["replicate", "i"]), ["replicate"], "y_prob", "permuted").select("auroc")
-    seen = M.auroc_auprc(p, [], "y_prob", "y_bin").select(F.col("auroc").alias("observed"))
-    return null.crossJoin(F.broadcast(seen)).groupBy("observed").agg(((1 + F.count_if(F.col("auroc") >= F.col("observed"))) / (1 + F.count("*"))).alias("p"))
+    labels = placed.select(*by, "replicate", F.col("j").alias("i"), F.col("y_bin").alias("permuted"))
+    null = M.auroc_auprc(placed.select(*by, "replicate", "i", "y_prob").join(labels, [*by, "replicate", "i"]), [*by, "replicate"], "y_prob", "permuted").select(*by, "auroc")
+    seen = M.auroc_auprc(p, by, "y_prob", "y_bin").select(*by, F.col("auroc").alias("observed"))
+    return null.join(seen, by).groupBy(*by, "observed").agg(((1 + F.count_if(F.col("auroc") >= F.col("observed"))) / (1 + F.count("auroc"))).alias("p"))
 
 
 @query("X11")
 def x11(t):
-    return X.shuffled(t.pairs_v.where("id % 20 = 1").select("id", "g", "x"), ["g"], "x", 3, "x_shuffled")
+    return X.shuffled(t.pairs_v.select("id", "g", "x"), ["g"], "x", 3, "x_shuffled")
 
 
 @query("X12", "SELECT id, x, y FROM pairs_v WHERE id % 100 = 3 ORDER BY id, x, y LIMIT 200")
