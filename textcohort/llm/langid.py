@@ -25,7 +25,6 @@ from ._spark import Scratch, broadcast_upto
 from .bpe import code_points
 
 ORDER = 4
-MAX_NGRAMS = 400_000
 MAX_LANGUAGES = 500
 REJECTED_SHARE = 0.001
 SHARPNESS = 5.0
@@ -207,9 +206,9 @@ class KneserNey:
         return -out / np.maximum(seen, 1)[:, None], n_letters
 
 
-def train(docs: DataFrame, order: int = ORDER, max_ngrams: int = MAX_NGRAMS, text: str = "text", lang: str = "lang") -> KneserNey:
-    """Models from all texts with a language.  They keep the max_ngrams most frequent n-grams over all languages."""
-    top = ngram_counts(docs, order, text, lang).orderBy(F.desc("n"), "lang", "gram").limit(max_ngrams).toPandas()
+def train(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str = "lang") -> KneserNey:
+    """Models from all n-grams of all texts with a language; the driver holds grams x languages numbers."""
+    top = ngram_counts(docs, order, text, lang).toPandas()
     langs = sorted(top.lang.unique())
     grams = np.frombuffer(b"".join(map(bytes, top.gram)), "<u4").reshape(-1, order).astype(np.int64)
     index = {x: k for k, x in enumerate(langs)}
@@ -223,7 +222,7 @@ def identify(docs: DataFrame, model: KneserNey, key: str = "doc_id", text: str =
     SHARPNESS characters.  lang_pred is `und` and score 0 for texts without a letter, and if no
     language was learned.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_NGRAMS x languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # grows with the distinct n-grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -250,18 +249,17 @@ def identify(docs: DataFrame, model: KneserNey, key: str = "doc_id", text: str =
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, entropy double")
 
 
-def detect(docs: DataFrame, order: int = ORDER, max_ngrams: int = MAX_NGRAMS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def detect(docs: DataFrame, order: int = ORDER, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Predictions for all rows, learned from rows with crc32(key) mod 3 other than 1.
 
-    Adds held_out.  Counting covers all training texts; the model keeps at most max_ngrams
-    n-grams.  rejected marks texts whose cross-entropy exceeds that of all but REJECTED_SHARE of
+    Adds held_out.  The model keeps all n-grams of the training texts.  rejected marks texts whose cross-entropy exceeds that of all but REJECTED_SHARE of
     the training texts predicted alike.  Null texts are predicted `und` and teach nothing; null languages
     teach nothing; repeated rows count each; an empty table gives an empty table; columns other
     than these three aren't read.
     """
     fold = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(3))
     training = docs.where((fold != 1) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, text, lang)
-    model = train(training, order, max_ngrams, text, lang)
+    model = train(training, order, text, lang)
     scored = Scratch(docs.sparkSession).write(identify(docs, model, key, text).withColumn("held_out", fold == 1))
     limits = scored.where("NOT held_out AND entropy IS NOT NULL").groupBy("lang_pred").agg(F.percentile_approx("entropy", 1 - REJECTED_SHARE, 10_000).alias("__limit"))
     return scored.join(broadcast_upto(limits, MAX_LANGUAGES), "lang_pred", "left").select(key, "held_out", "lang_pred", "score", "entropy", F.coalesce(F.col("entropy") > F.col("__limit"), F.lit(False)).alias("rejected"))
