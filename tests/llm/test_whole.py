@@ -5,7 +5,7 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
-from textcohort.llm import langid
+from textcohort.llm import langid, mixing
 
 
 def test_a_rare_language_beside_many_ngrams(spark):
@@ -18,3 +18,19 @@ def test_a_rare_language_beside_many_ngrams(spark):
     assert grams > 400_000 and len(model.hashes[langid.ORDER]) == grams and model.langs == ["aa", "zz"]
     got = {r.lang_pred for r in langid.identify(docs.where("lang = 'zz'"), model).collect()}
     assert got == {"zz"}
+
+
+def test_mixing_plans_every_one_of_many_sources(spark):
+    many = spark.range(42_000).selectExpr("id AS doc_id", "repeat('w ', cast(1 + id % 5 AS int)) AS text", "CASE WHEN id % 3 = 0 THEN 'de' ELSE 'en' END AS lang", "concat('host', id % 21000) AS source")
+    large = spark.range(30_000).selectExpr("100000 + id AS doc_id", "repeat('w ', cast(1 + id % 7 AS int)) AS text", "'en' AS lang", "'big' AS source")
+    docs = many.unionByName(large)
+    plan = mixing.Mixture(budget=0.4, max_epochs=2, weights={("all", "en"): 1.0, ("all", "de"): 4.0, ("all", "en", "big"): 5000.0, ("all", "de", "host3"): 0.25})
+    rows = docs.withColumn("n", mixing.n_tokens(F.col("text"))).groupBy("lang", "source").agg(F.sum("n").alias("n"), F.max("n").alias("most")).toPandas()
+    assert len(rows) > mixing.MAX_LEAVES
+    want = mixing.budgets({("all", r.lang, r.source): r.n for r in rows.itertuples()}, plan)
+    got = mixing.mix(docs, plan).groupBy("lang", "source").agg(F.sum("__tokens").alias("tokens")).toPandas()
+    both = rows.merge(got, "left", ["lang", "source"]).fillna({"tokens": 0})
+    budget = pd.Series([want["all", r.lang, r.source] for r in both.itertuples()])
+    assert (both.tokens <= budget).all() and (both.tokens > budget - both.most).all()
+    by_lang = both.groupby("lang").tokens.sum()
+    assert by_lang["de"] > 2 * (both.n[both.lang == "de"].sum() * 0.4)

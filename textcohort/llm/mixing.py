@@ -4,7 +4,7 @@ A token budget is shared out along a tree domain - language - source.  At each n
 get shares in proportion to their weights, at most what they hold; what one can't take goes to
 its siblings, and only what no sibling can take returns to the parent's siblings.  Each leaf
 then takes whole seeded epochs and a token-prefix of one more, in the order of a seeded hash.
-The prefix's cut is found by narrowing a hash range, so no leaf is ever sorted in one task.
+The prefix's cut is found by narrowing a hash range, so no leaf of many rows is sorted in one task.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import Scratch
+from ._spark import Scratch, broadcast_upto
 
 SPLIT = 1024
-SMALL = 256
+FEW = 10_000
 MAX_LEAVES = 20_000
 NULL = "\0null"
+ALIKE = "\0tokens "
 LEVELS = ["__domain", "__lang", "__source"]
 TOP = 1 << 62
 
@@ -38,29 +39,29 @@ class Mixture:
     seed: int = 7
 
 
-def share_out(budget: Fraction, holds: list[int], weights: list[float]) -> list[Fraction]:
-    """Shares in proportion to the weights, none above what the child holds; shortages go to the others."""
-    out, open_ = [Fraction(0)] * len(holds), [i for i, h in enumerate(holds) if h > 0]
-    left = min(budget, Fraction(sum(holds)))
+def share_out(budget: Fraction, holds: list[int], weights: list[float], times: list[int] | None = None) -> list[Fraction]:
+    """Shares in proportion to the weights, none above what the child holds; shortages go to the others.
+
+    times: how many children are alike; the share is that of each.
+    """
+    times = times or [1] * len(holds)
     weight = [Fraction(w).limit_denominator(10**9) for w in weights]
-    while open_ and left > 0:
-        total = sum(weight[i] for i in open_)
-        part = {i: left * weight[i] / total if total else left / len(open_) for i in open_}
-        full = [i for i in open_ if part[i] >= holds[i]]
-        if not full:
-            for i in open_:
-                out[i] = part[i]
-            break
-        for i in full:
-            out[i] = Fraction(holds[i])
-            left -= holds[i]
-        open_ = [i for i in open_ if i not in set(full)]
+    out, left = [Fraction(0)] * len(holds), min(budget, Fraction(sum(h * k for h, k in zip(holds, times, strict=True))))
+    # children without weight get what the others can't take, in equal shares
+    for part in ([i for i, h in enumerate(holds) if h > 0 and weight[i] > 0], [i for i, h in enumerate(holds) if h > 0 and weight[i] <= 0]):
+        own = {i: weight[i] if weight[i] > 0 else Fraction(1) for i in part}
+        total = sum(own[i] * times[i] for i in part)
+        for i in sorted(part, key=lambda i: holds[i] / own[i]):  # those that fill up first come first
+            out[i] = min(Fraction(holds[i]), left * own[i] / total)
+            left -= out[i] * times[i]
+            total -= own[i] * times[i]
     return out
 
 
-def budgets(leaves: dict[tuple[str, ...], int], mixture: Mixture) -> dict[tuple[str, ...], int]:
-    """Whole tokens for each leaf; leaves: tokens each one has in one epoch."""
-    total = sum(leaves.values())
+def budgets(leaves: dict[tuple[str, ...], int], mixture: Mixture, times: dict[tuple[str, ...], int] | None = None) -> dict[tuple[str, ...], int]:
+    """Whole tokens for each leaf; leaves: tokens each one has in one epoch; times: how many leaves are alike."""
+    times = times or dict.fromkeys(leaves, 1)
+    total = sum(n * times[leaf] for leaf, n in leaves.items())
     budget = Fraction(mixture.budget).limit_denominator(10**9) * (total if mixture.budget <= 1 else 1)
     out: dict[tuple[str, ...], int] = {}
 
@@ -72,8 +73,9 @@ def budgets(leaves: dict[tuple[str, ...], int], mixture: Mixture) -> dict[tuple[
         for leaf, n in below.items():
             children.setdefault(leaf[: len(path) + 1], {})[leaf] = n
         names = sorted(children)
-        holds = [mixture.max_epochs * sum(children[c].values()) for c in names]
-        for c, s in zip(names, share_out(share, holds, [mixture.weights.get(c, 1.0) for c in names]), strict=True):
+        alike = [times[c] if len(c) == 3 else 1 for c in names]
+        holds = [mixture.max_epochs * sum(n * (times[x] if len(c) < 3 else 1) for x, n in children[c].items()) for c in names]
+        for c, s in zip(names, share_out(share, holds, [mixture.weights.get(c, 1.0) for c in names], alike), strict=True):
             go(c, children[c], s)
 
     go((), leaves, budget)
@@ -98,31 +100,40 @@ def mix(docs: DataFrame, mixture: Mixture, domain: Column | None = None, key: st
     budget.  Equal rows are taken together or not at all within an epoch.  Null languages and
     sources are nodes of their own; rows without words count no tokens and come with the prefix
     they fall in; an empty table gives an empty table; a clashing __epoch or __tokens column of
-    the input is replaced.  Beyond MAX_LEAVES leaves, sources are hashed into groups, so the plan
-    that is broadcast has at most that many rows.  Texts are read once more at the end and not
-    shuffled.
+    the input is replaced.  Every source is planned by itself: those without a weight of their own
+    that hold as many tokens get the same budget, so the driver sees a row for each number of
+    tokens in a domain and language.  Texts are read once more at the end, and shuffled only if
+    there are more than MAX_LEAVES leaves to broadcast.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     own = [c for c in docs.columns if c not in ("__epoch", "__tokens", *LEVELS, "__leaf")]
     as_node = lambda c: F.coalesce(c.cast("string"), F.lit(NULL))
     node = {"__domain": as_node(domain) if domain is not None else F.lit("all"), "__lang": as_node(F.col(lang)), "__source": as_node(F.col(source))}
-    if docs.select(*(c.alias(n) for n, c in node.items())).distinct().limit(MAX_LEAVES + 1).count() > MAX_LEAVES:
-        node = {"__domain": F.lit("all"), "__lang": F.lit("all"), "__source": F.pmod(F.xxhash64(*node.values()), F.lit(MAX_LEAVES)).cast("string")}
     sized = scratch.write(docs.select(*(c.alias(n) for n, c in node.items()), F.col(key).alias("key"), F.xxhash64(F.col(key), F.col(text)).alias("row"), n_tokens(F.col(text)).alias("n")))
-    found = {tuple(r[:3]): r.n for r in sized.groupBy(*LEVELS).agg(F.sum("n").alias("n")).collect()}  # at most MAX_LEAVES rows
-    plan = budgets(found, mixture)
+    named = spark.createDataFrame([(*p, True) for p in mixture.weights if len(p) == 3], "__domain string, __lang string, __source string, named boolean")
+    kind = F.when(F.col("named"), F.col("__source")).otherwise(F.concat(F.lit(ALIKE), F.col("n").cast("string")))
+    leaves = sized.groupBy(*LEVELS).agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    leaves = scratch.write(leaves.join(F.broadcast(named), LEVELS, "left").withColumn("kind", kind).drop("named"))
+    found = {tuple(r[:3]): (r.n, r.times) for r in leaves.groupBy("__domain", "__lang", "kind", "n").agg(F.count("*").alias("times")).collect()}
+    plan = budgets({p: n for p, (n, _) in found.items()}, mixture, {p: k for p, (_, k) in found.items()})
     rows = []
-    for leaf, n in found.items():
+    for leaf, (n, _) in found.items():
         epochs = plan[leaf] // n if n else min(1, mixture.max_epochs)
         rows.append((*leaf, epochs, plan[leaf] - epochs * n if n else 0))
-    leaf_schema = "__domain string, __lang string, __source string, full long, rest long"
-    leaves = spark.createDataFrame(rows, leaf_schema)
+    shares = spark.createDataFrame(rows, "__domain string, __lang string, kind string, full long, rest long")
+    planned = scratch.write(leaves.join(broadcast_upto(shares, MAX_LEAVES), ["__domain", "__lang", "kind"]).select(*LEVELS, "rows", "full", "rest"))
+    cut = planned.where("rest > 0")
     place = F.shiftrightunsigned(F.xxhash64(F.lit(mixture.seed), F.col("full"), F.col("row")), 2)
-    placed = scratch.write(sized.join(F.broadcast(leaves), LEVELS).where("rest > 0").select(*LEVELS, place.alias("place"), "n"))
-    # Narrow each leaf's range of places until it holds few rows: (low, high, tokens before, cut).
-    state = {r[:3]: (0, TOP, 0, r[4]) for r in rows if r[4] > 0}
-    cuts = {r[:3]: 0 for r in rows if r[4] <= 0}  # no place lies below 0
+    placed = scratch.write(sized.join(broadcast_upto(cut, MAX_LEAVES), LEVELS).select(*LEVELS, "rows", place.alias("place"), "n", "rest"))
+    # A leaf of few rows is cut by a running sum.
+    few = placed.where(F.col("rows") <= FEW).groupBy(*LEVELS, "place").agg(F.sum("n").alias("n"), F.first("rest").alias("rest"))
+    upto = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("place"))
+    crossed = few.withColumn("upto", upto).where("upto > rest").groupBy(*LEVELS).agg(F.min("place").alias("cut"))
+    # Narrow each other leaf's range of places until one place is left: (low, high, tokens before, cut).
+    state = {tuple(r[:3]): (0, TOP, 0, r.rest) for r in cut.where(F.col("rows") > FEW).select(*LEVELS, "rest").collect()}  # at most rows / FEW
+    placed = placed.where(F.col("rows") > FEW).select(*LEVELS, "place", "n")
+    cuts: dict[tuple[str, ...], int] = {}
     while state:
         ranges = spark.createDataFrame([(*leaf, low, (high - low + SPLIT - 1) // SPLIT, high, before, rest) for leaf, (low, high, before, rest) in state.items()], "__domain string, __lang string, __source string, low long, step long, high long, before long, rest long")
         inside = placed.join(F.broadcast(ranges), LEVELS).where("place >= low AND place < high")
@@ -143,9 +154,11 @@ def mix(docs: DataFrame, mixture: Mixture, domain: Column | None = None, key: st
                 del state[leaf]
             else:
                 state[leaf] = (start, min(high, start + c.step), c.upto - c.n, rest)
-    chosen = spark.createDataFrame([(*r[:3], r[3], cuts[r[:3]]) for r in rows], "__domain string, __lang string, __source string, __full long, __cut long")
+    crossed = crossed.unionByName(spark.createDataFrame([(*leaf, place) for leaf, place in cuts.items()], "__domain string, __lang string, __source string, cut long"))
+    until = F.when(F.col("rest") > 0, F.coalesce("cut", F.lit(TOP))).otherwise(0)  # no place lies below 0
+    chosen = scratch.write(planned.join(crossed, LEVELS, "left").select(*LEVELS, F.col("full").alias("__full"), until.alias("__cut")))
     at = F.shiftrightunsigned(F.xxhash64(F.lit(mixture.seed), F.col("__full"), F.xxhash64(F.col(key), F.col(text))), 2)
     times = F.col("__full") + F.when(at < F.col("__cut"), 1).otherwise(0)
-    picked = docs.select(*(F.col(f"`{c}`") for c in own)).withColumns(node).join(F.broadcast(chosen), LEVELS).withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1)))) if mixture.max_epochs > 1 else F.lit(1))
+    picked = docs.select(*(F.col(f"`{c}`") for c in own)).withColumns(node).join(broadcast_upto(chosen, MAX_LEAVES), LEVELS).withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1)))) if mixture.max_epochs > 1 else F.lit(1))
     picked = picked.where(times >= F.col("__epoch")).withColumn("__epoch", F.col("__epoch").cast("long") - 1)
     return picked.select(*(F.col(f"`{c}`") for c in own), "__epoch", n_tokens(F.col(text)).alias("__tokens"))
