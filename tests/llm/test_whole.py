@@ -5,7 +5,7 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
-from textcohort.llm import langid, mixing
+from textcohort.llm import bagmin, langid, mixing
 
 
 def test_a_rare_language_beside_many_ngrams(spark):
@@ -34,3 +34,13 @@ def test_mixing_plans_every_one_of_many_sources(spark):
     assert (both.tokens <= budget).all() and (both.tokens > budget - both.most).all()
     by_lang = both.groupby("lang").tokens.sum()
     assert by_lang["de"] > 2 * (both.n[both.lang == "de"].sum() * 0.4)
+
+
+def test_near_copies_of_repeated_keys_and_rows(spark):
+    words = lambda p, n: [f"{p}{i}" for i in range(n)]
+    a, b = words("a", 104), words("b", 104)
+    near = [*a[:-8], *words("x", 8)]  # 92 of 100 shingles are shared: 92 / 108
+    rows = [(5, " ".join(a)), (5, " ".join(words("other", 104))), (6, " ".join(near))]
+    rows += [(7, " ".join(b))] + [(100 + i, f"text {i} by itself") for i in range(30)] + [(8, " ".join([*b[:-8], *words("y", 8)])), (7, " ".join(b)), (8, " ".join([*b[:-8], *words("y", 8)]))]
+    got = bagmin.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).where("doc_id < 100").collect()
+    assert {(r.doc_id, r.class_id) for r in got if r.doc_id > 5} == {(6, 5), (7, 7), (8, 7)} and len(got) == 7

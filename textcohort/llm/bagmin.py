@@ -160,7 +160,7 @@ def _sign(bands: Bands):
                 for k in range(bands.rows):
                     mark = mix64(mark * _GOLD + times[:, k])
                 marks = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands.bands + 1, bands.bands, dtype=np.int32)), pa.array(mark.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(weight), marks, brief], names=["id", "h1", "h2", "weight", "marks", "brief"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(weight), marks, brief], names=["id", "t", "h1", "h2", "weight", "marks", "brief"])
 
     return run
 
@@ -222,17 +222,17 @@ def near_copies(docs: DataFrame, bands: Bands = Bands(), key: str = "doc_id", te
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = scratch.write(plain.mapInArrow(_sign(bands), "id long, h1 long, h2 long, weight long, marks array<long>, brief array<tinyint>"))
+    plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("t"))
+    signed = scratch.write(plain.mapInArrow(_sign(bands), "id long, t long, h1 long, h2 long, weight long, marks array<long>, brief array<tinyint>"))
     usable = (F.col("weight") > 0) & F.col("id").isNotNull()
-    classes = scratch.write(signed.where(usable).groupBy("h1", "h2").agg(F.min("id").alias("name"), F.first("weight").alias("weight"), F.first("marks").alias("marks"), F.first("brief").alias("brief")))
+    classes = scratch.write(signed.where(usable).groupBy("h1", "h2").agg(F.min(F.struct("id", "t")).alias("name"), F.first("weight").alias("weight"), F.first("marks").alias("marks"), F.first("brief").alias("brief")).withColumns({"t": F.col("name.t"), "name": F.col("name.id")}))
     bucket = ["band", "mark"]
     told = classes.select(F.col("h1").alias("c"), "weight", F.posexplode("marks").alias("band", "mark"))
     crowded = told.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     met = scratch.write(told.join(crowded, bucket))
-    names = classes.select(F.col("h1").alias("c"), F.col("name").alias("id")).join(met.select("c").distinct(), "c", "left_semi")
-    # a repeated key may come with several texts: all are compared, which can't miss a link of the class
-    texts = scratch.write(plain.join(names, "id").select("c", "text"))
+    names = classes.select(F.col("h1").alias("c"), F.col("name").alias("id"), "t").join(met.select("c").distinct(), "c", "left_semi")
+    # one text a class: a repeated key may come with several texts, and a row several times
+    texts = scratch.write(plain.join(names, ["id", "t"]).groupBy("id", "t", "c").agg(F.first("text").alias("text")).select("c", "text"))
     free_shuffles(spark)
     keys = texts.mapInArrow(_lone, "key long, c long, n long, several boolean").groupBy("key").agg(F.count("*").alias("k"), F.bool_or("several").alias("several"), F.min("c").alias("low"), F.max("c").alias("high"), F.sum("n").alias("n"))
     lone = keys.where("NOT several AND low = high").groupBy(F.col("low").alias("c")).agg(F.sum("n").alias("lone"))
