@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _FOLDERS: list[tuple[SparkSession, str]] = []
 
 
@@ -50,22 +53,64 @@ class Scratch:
     def write(self, df: DataFrame, **options: str) -> DataFrame:
         path = f"{self.root}/{self.n}"
         self.n += 1
-        df.write.options(**options).parquet(path)
+        with shuffles_freed(self.spark):
+            df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
+    def write_parts(self, df: DataFrame, flag: str, **options: str) -> tuple[DataFrame, DataFrame]:
+        """The rows where a boolean column is true, and those where it is false, as tables that can be dropped apart."""
+        path = f"{self.root}/{self.n}"
+        self.n += 1
+        with shuffles_freed(self.spark):
+            df.write.options(**options).partitionBy(flag).parquet(path)
+        schema, out = df.drop(flag).schema, []
+        for value in ("true", "false"):
+            part = f"{path}/{flag}={value}"
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(part)
+            there = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+            found = self.spark.read.schema(schema).parquet(part) if there else self.spark.createDataFrame([], schema)
+            found._scratch_path = part
+            out.append(found)
+        return out[0], out[1]
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for t in tables:
             _delete(self.spark, t._scratch_path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with its columns named c0, c1, ..., which can't clash with an operator's own, and the new names by the old."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), names
+
+
+def renamed(names: dict[str, str]) -> list[Column]:
+    """Columns that give a numbered table its names back."""
+    return [F.col(n).alias(c) for c, n in names.items()]
+
+
 def broadcast_upto(df: DataFrame, rows: int) -> DataFrame:
     """A hint to broadcast if the table has at most `rows` rows; else Spark joins by shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes a statement's shuffle files when it ends, not at some later collection of the driver's garbage."""
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FREE)
+        else:
+            spark.conf.set(_FREE, before)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let the driver forget shuffle files of finished jobs; they'd wait for its next collection."""
     spark._jvm.System.gc()

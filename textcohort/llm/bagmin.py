@@ -11,7 +11,8 @@ later than the slowest component can't matter, which bounds the work per documen
 
 Equal bags are one class.  Classes that agree in a band are candidates; links are decided by
 the exact overlap of the bags.  Within a bucket all are compared with its most central member;
-what is not connected then is compared with the bucket's members of other components.
+what is not connected then is compared with the bucket's members of other components, as far as
+sketches of their symmetric difference allow.
 """
 
 from __future__ import annotations
@@ -28,12 +29,13 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._components import components
-from ._spark import Scratch, free_shuffles
+from ._spark import Scratch, numbered, renamed
 from ._text import U64, mix64
 
 SHINGLE = 5
 MAX_TURNS = 2
 MISSED = 1e-5
+PARITY_BITS = 2048
 _GOLD = U64(0x9E3779B97F4A7C15)
 
 
@@ -206,23 +208,45 @@ def _lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ranked[first].view(np.int64)), pa.array(owner[first]), pa.array(count[order][first].astype(np.int64)), pa.array(several)], names=["key", "c", "n", "several"])
 
 
+def _parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Odd sketches of bags: each occurrence of a shingle flips one of PARITY_BITS bits.
+
+    Where two sketches differ in d bits, the bags differ in at least d occurrences.
+    """
+    for batch in batches:
+        for i, j, row, key, count in bags(batch.column(1)):
+            nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            h = mix64(np.repeat(mix64(key), count) + nth.astype(U64) * _GOLD)
+            bit, times = np.unique(np.repeat(row, count) * PARITY_BITS + (h % U64(PARITY_BITS)).astype(np.int64), return_counts=True)
+            bit = bit[times % 2 == 1]
+            flags = np.zeros((j - i) * PARITY_BITS // 8, np.uint8)
+            np.bitwise_or.at(flags, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
+            size = PARITY_BITS // 64
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i) * size + 1, size, dtype=np.int32)), pa.array(flags.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], listed], names=["c", "parity"])
+
+
 def near_copies(docs: DataFrame, bands: Bands = Bands(), key: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
     """Per row: key, class_id, kept.
 
     class_id is the least key among the documents that links of similarity `least` or more
     reach; kept marks rows whose key it is.  Null texts and texts without a word link with
     nothing and are kept, as are rows without a key, whose class_id is null; equal texts are one
-    class, also as repeated rows; an empty table gives an empty table; other columns aren't read.
+    class, also as repeated rows; a very long text is worked on by itself; ties of similarity or
+    weight are decided by hashes, and never change the classes; an empty table gives an empty
+    table; other columns aren't read, whatever their names.
 
     A bucket's members are first compared with its most central one, that with the least share
     of shingles which no other candidate has.  Those shingles also bound a pair's overlap.  While
     much is still apart, one odd member per bucket and turn is compared with all others, so that
     crowds of copies of copies join up; of the rest all pairs are compared whose signatures agree
     in `fewest` components, which a pair at the least similarity misses with probability 1e-5.
+    In both, odd sketches rule out pairs that differ in more shingles than the similarity allows:
+    a certain bound, which loses nothing.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("t"))
+    scratch = Scratch(docs.sparkSession)
+    whole = F.col(f"`{text}`")
+    plain = docs.select(F.col(f"`{key}`").cast("long").alias("id"), whole.alias("text"), F.xxhash64(whole).alias("t"))
     signed = scratch.write(plain.mapInArrow(_sign(bands), "id long, t long, h1 long, h2 long, weight long, marks array<long>, brief array<tinyint>"))
     usable = (F.col("weight") > 0) & F.col("id").isNotNull()
     classes = scratch.write(signed.where(usable).groupBy("h1", "h2").agg(F.min(F.struct("id", "t")).alias("name"), F.first("weight").alias("weight"), F.first("marks").alias("marks"), F.first("brief").alias("brief")).withColumns({"t": F.col("name.t"), "name": F.col("name.id")}))
@@ -233,11 +257,12 @@ def near_copies(docs: DataFrame, bands: Bands = Bands(), key: str = "doc_id", te
     names = classes.select(F.col("h1").alias("c"), F.col("name").alias("id"), "t").join(met.select("c").distinct(), "c", "left_semi")
     # one text a class: a repeated key may come with several texts, and a row several times
     texts = scratch.write(plain.join(names, ["id", "t"]).groupBy("id", "t", "c").agg(F.first("text").alias("text")).select("c", "text"))
-    free_shuffles(spark)
+    sketches = scratch.write(texts.mapInArrow(_parity, "c long, parity array<long>"))
     keys = texts.mapInArrow(_lone, "key long, c long, n long, several boolean").groupBy("key").agg(F.count("*").alias("k"), F.bool_or("several").alias("several"), F.min("c").alias("low"), F.max("c").alias("high"), F.sum("n").alias("n"))
     lone = keys.where("NOT several AND low = high").groupBy(F.col("low").alias("c")).agg(F.sum("n").alias("lone"))
-    met = scratch.write(met.join(lone, "c", "left").select(*bucket, "c", "weight", F.greatest(F.col("weight") - F.coalesce("lone", F.lit(0)), F.lit(0)).alias("shared")))
-    free_shuffles(spark)
+    every = met
+    met = scratch.write(every.join(lone, "c", "left").select(*bucket, "c", "weight", F.greatest(F.col("weight") - F.coalesce("lone", F.lit(0)), F.lit(0)).alias("shared")))
+    scratch.drop(every)
     central = F.struct((-F.floor(1000 * F.col("shared") / F.col("weight"))).alias("order"), "c", "weight", "shared")
     first = met.groupBy(*bucket).agg(F.min(central).alias("f"))
     least = F.lit(bands.least)
@@ -246,15 +271,18 @@ def near_copies(docs: DataFrame, bands: Bands = Bands(), key: str = "doc_id", te
         """Whether the weights and the shared shingles allow the similarity."""
         return (F.least(wx, wy) >= least * F.greatest(wx, wy) - 1e-9) & ((1 + least) * F.least(sx, sy) >= least * (F.col(wx) + F.col(wy)) - 1e-9)
 
+    def near(wx: str, px: str, wy: str, py: str) -> Column:
+        """Whether the sketches allow the similarity: the bags may differ in (1 - s) / (1 + s) of their weights."""
+        apart_in = F.aggregate(F.zip_with(px, py, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, e: n + e)
+        return apart_in <= (F.col(wx) + F.col(wy)) * ((1 - bands.least) / (1 + bands.least)) + 1e-9
+
     ordered = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     star = met.join(first, bucket).select(F.col("c").alias("x"), F.col("weight").alias("wx"), F.col("shared").alias("sx"), F.col("f.c").alias("y"), F.col("f.weight").alias("wy"), F.col("f.shared").alias("sy"))
     tested = scratch.write(star.where((F.col("x") != F.col("y")) & may("wx", "sx", "wy", "sy")).select(*ordered).distinct())
 
     def verify(pairs: DataFrame) -> DataFrame:
         left, right = texts.select(F.col("c").alias("a"), F.col("text").alias("s")), texts.select(F.col("c").alias("b"), F.col("text").alias("t"))
-        out = scratch.write(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(_verify(bands.least), "a long, b long"))
-        free_shuffles(spark)
-        return out
+        return scratch.write(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(_verify(bands.least), "a long, b long"))
 
     links = verify(tested)
     reach = scratch.write(components(links, scratch))
@@ -266,7 +294,7 @@ def near_copies(docs: DataFrame, bands: Bands = Bands(), key: str = "doc_id", te
         parts = now.groupBy(*bucket, "component").agg(F.count("*").alias("n")).groupBy(*bucket)
         main = parts.agg(F.count("*").alias("parts"), F.max(F.struct("n", "component"))["component"].alias("main")).where("parts > 1").drop("parts")
         live = (F.col("component") == F.col("main")) | (F.col("shared") >= least * F.col("weight") - 1e-9)
-        return scratch.write(now.join(main, bucket).where(live))
+        return scratch.write(now.join(main, bucket).where(live).join(sketches, "c"))
 
     for turn in range(MAX_TURNS):
         rest = apart()
@@ -275,25 +303,27 @@ def near_copies(docs: DataFrame, bands: Bands = Bands(), key: str = "doc_id", te
         if (work.pairs or 0) <= 4 * (work.n or 0):
             break
         # one of the odd members of each bucket, another one in each turn and band, against all others
-        pick = F.struct(F.xxhash64("c", "band", F.lit(turn)).alias("order"), "c", "weight", "shared", "component")
+        pick = F.struct(F.xxhash64("c", "band", F.lit(turn)).alias("order"), "c", "weight", "shared", "component", "parity")
         odd = rest.where("component <> main").groupBy(*bucket).agg(F.min(pick).alias("f"))
-        pairs = rest.join(odd, bucket).where((F.col("component") != F.col("f.component"))).select(F.col("c").alias("x"), F.col("weight").alias("wx"), F.col("shared").alias("sx"), F.col("f.c").alias("y"), F.col("f.weight").alias("wy"), F.col("f.shared").alias("sy"))
-        fresh = scratch.write(pairs.where(may("wx", "sx", "wy", "sy")).select(*ordered).distinct().join(tested, ["a", "b"], "left_anti"))
+        other = odd.select(*bucket, F.col("f.c").alias("y"), F.col("f.weight").alias("wy"), F.col("f.shared").alias("sy"), F.col("f.component").alias("cy"), F.col("f.parity").alias("py"))
+        pairs = rest.select(*bucket, F.col("c").alias("x"), F.col("weight").alias("wx"), F.col("shared").alias("sx"), F.col("component").alias("cx"), F.col("parity").alias("px")).join(other, bucket)
+        fresh = scratch.write(pairs.where((F.col("cx") != F.col("cy")) & may("wx", "sx", "wy", "sy") & near("wx", "px", "wy", "py")).select(*ordered).distinct().join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(fresh)
         links = links.unionByName(verify(fresh))
         reach = scratch.write(components(links, scratch))
     rest = apart().join(classes.select(F.col("h1").alias("c"), "marks", "brief"), "c")
-    odd = rest.where("component <> main").select(*bucket, F.col("c").alias("x"), F.col("weight").alias("wx"), F.col("shared").alias("sx"), F.col("component").alias("cx"), F.col("marks").alias("mx"), F.col("brief").alias("bx"))
-    other = rest.select(*bucket, F.col("c").alias("y"), F.col("weight").alias("wy"), F.col("shared").alias("sy"), F.col("component").alias("cy"), "main", F.col("marks").alias("my"), F.col("brief").alias("by"))
+    odd = rest.where("component <> main").select(*bucket, F.col("c").alias("x"), F.col("weight").alias("wx"), F.col("shared").alias("sx"), F.col("component").alias("cx"), F.col("marks").alias("mx"), F.col("brief").alias("bx"), F.col("parity").alias("px"))
+    other = rest.select(*bucket, F.col("c").alias("y"), F.col("weight").alias("wy"), F.col("shared").alias("sy"), F.col("component").alias("cy"), "main", F.col("marks").alias("my"), F.col("brief").alias("by"), F.col("parity").alias("py"))
     # a pair that shares several bands is made in the first of them only
     once = F.array_position(F.zip_with("mx", "my", lambda p, q: p == q), True) == F.col("band") + 1
     alike = F.aggregate(F.zip_with("bx", "by", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, e: n + e) >= bands.fewest
-    more = odd.join(other, bucket).where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & may("wx", "sx", "wy", "sy") & once & alike)
+    more = odd.join(other, bucket).where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & may("wx", "sx", "wy", "sy") & alike & near("wx", "px", "wy", "py") & once)
     # in the first band a pair's roles may differ from those in others, so both orders can come
     more = scratch.write(more.select(*ordered).distinct().join(tested, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         links = links.unionByName(verify(more))
         reach = scratch.write(components(links, scratch))
+    scratch.drop(texts, sketches, met)
     label = reach.select(F.col("id").alias("h1"), F.col("component"))
     joined = scratch.write(classes.select("h1", "h2", "name").join(label, "h1", "left").select("h1", "h2", "name", F.coalesce("component", "h1").alias("component")))
     low = joined.groupBy("component").agg(F.min("name").alias("class_id"))
@@ -304,6 +334,10 @@ def near_copies(docs: DataFrame, bands: Bands = Bands(), key: str = "doc_id", te
 
 
 def drop_near_copies(docs: DataFrame, bands: Bands = Bands(), key: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
-    """The rows whose key is the least of their class, with their own columns."""
-    gone = near_copies(docs, bands, key, text).where("NOT kept").select(F.col(key).alias("__gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
+    """The rows whose key is the least of their class, with their own columns, of any names.
+
+    Rows without a key stay, as do all rows of a repeated key that is the least of its class.
+    """
+    own, names = numbered(docs)
+    gone = near_copies(docs, bands, key, text).where("NOT kept").select(F.col(key).alias("gone")).distinct()
+    return own.join(gone, F.col(names[key]).cast("long") == F.col("gone"), "left_anti").select(*renamed(names))
