@@ -109,8 +109,3 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(_FREE)
         else:
             spark.conf.set(_FREE, before)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let the driver forget shuffle files of finished jobs; they'd wait for its next collection."""
-    spark._jvm.System.gc()

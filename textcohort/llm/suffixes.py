@@ -10,10 +10,10 @@ smaller key.  Documents are grouped in chunks of a few megabytes, the shards of
 2. For these, the run's bytes are sent once per chunk and content, with the least key, to the
    shard of the anchor.  All copies of a string meet there.
 3. A shard sorts its suffixes as Larsson and Sadakane do: by a few bytes, then, only within
-   groups still equal, by the ranks of what follows at doubled distance.  Common prefixes of
-   neighbours give the intervals of equal strings and each one's least key.  They are Kasai's,
-   but compared by whole words up to the needed length: his carry from one suffix to the next
-   is a sequential scan, which numpy can't run as one pass.
+   groups still equal, by the ranks of what follows at doubled distance.  Kasai's common
+   prefixes of neighbours give the intervals of equal strings and each one's least key: what a
+   suffix shares with its predecessor, less one byte, is carried to the suffix that begins one
+   byte later.  Many places of the text are walked side by side, each one as far as LANE bytes.
 4. The chunks look up their runs' answers and cut.
 
 An anchor that very many chunks have doesn't go to one shard: its strings are sent one by one
@@ -34,11 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text
-from ._spark import Scratch, free_shuffles
+from ._spark import Scratch
 from ._text import U64, mix64
 
 _GOLD = U64(0x9E3779B97F4A7C15)
 _CODEC = "zstd"
+LANE = 64
 
 
 @dataclass(frozen=True)
@@ -290,8 +291,8 @@ def _send(plan: Plan, buckets: int):
     return run
 
 
-def suffix_order(data: np.ndarray, wanted: np.ndarray, least: int) -> np.ndarray:
-    """wanted positions in the order of their first `least` bytes; each has as many to its end.
+def suffix_order(data: np.ndarray, wanted: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """wanted positions in the order of their first `least` bytes, and a number that equal ones share; each has as many bytes to its end.
 
     Sorted by the first bytes; then groups that are still equal are refined by the ranks at the
     doubled distance until `least` bytes are covered.
@@ -331,7 +332,8 @@ def suffix_order(data: np.ndarray, wanted: np.ndarray, least: int) -> np.ndarray
         known += step
     mask = np.zeros(n, bool)
     mask[wanted] = True
-    return order[mask[order]]
+    mask = mask[order]
+    return order[mask], head[mask]
 
 
 def _heads(changed: np.ndarray) -> np.ndarray:
@@ -340,32 +342,73 @@ def _heads(changed: np.ndarray) -> np.ndarray:
     return np.repeat(starts, np.diff(np.append(starts, len(changed) + 1)))
 
 
-def _words(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position on, zeros beyond the end, as numbers that sort alike."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    out = np.zeros(len(data), U64)
-    for k in range(8):
-        out = out << U64(8) | padded[k : k + len(data)].astype(U64)
-    return out
+def _words(data: np.ndarray, kind: str = ">u8") -> np.ndarray:
+    """The eight bytes from each position on, zeros beyond the end, as numbers; big-endian ones sort as the bytes do."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    return np.ndarray((len(data),), kind, padded.data, 0, (1,)).astype(U64)
+
 
+def common_prefixes(data: np.ndarray, order: np.ndarray, group: np.ndarray, most: int) -> np.ndarray:
+    """Common prefix of each position in the order with the one before it, up to `most` bytes, by Kasai's carry.
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix of each position in the order with the one before it: up to `most` bytes, below that in steps of eight."""
-    out = np.zeros(len(order), np.int64)
-    if len(order) < 2:
-        return out
-    i, j = order[1:], order[:-1]
-    found, left, word = np.zeros(len(i), np.int64), np.arange(len(i)), _words(data)
-    for done in range(0, most - 7, 8):
-        left = left[word[i[left] + done] == word[j[left] + done]]
-        found[left] = done + 8
-    for done in range(most - most % 8, most):
-        left = left[data[i[left] + done] == data[j[left] + done]]
-        found[left] = done + 1
-    out[1:] = found
+    group: equal for positions whose first `most` bytes are equal.  A position is compared with
+    the last one of the group before its own.  If the two differ after h < most bytes, the
+    positions one byte later are in different groups in the same order, so the later one shares
+    at least h - 1 bytes with what comes before it: only further bytes are compared.  Where the
+    other one's successor isn't in the order, nothing is carried.
+    """
+    n = len(order)
+    if not n:
+        return np.zeros(0, np.int64)
+    head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    before = np.repeat(np.append(-1, order[head[1:] - 1]), np.diff(np.append(head, n)))
+    listed = np.zeros(len(data) + 1, bool)
+    listed[order] = True
+    place = np.flatnonzero(listed)
+    slot = np.empty(len(data), np.int64)
+    slot[order] = np.arange(n)
+    slot = slot[place]  # of each place of the text, in the order
+    other = before[slot]  # what each place is compared with
+    carries = (other >= 0) & listed[other + 1]
+    # lanes: runs of neighbouring places, at most LANE of them each, the longest ones first
+    stop = np.append(np.flatnonzero(np.diff(place) != 1) + 1, n)
+    first = np.append(0, stop[:-1])
+    pieces = -(-(stop - first) // LANE)
+    lane = np.repeat(first, pieces) + LANE * (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    length = np.minimum(LANE, np.repeat(stop, pieces) - lane)
+    by_length = np.argsort(-length)
+    lane, length = lane[by_length], length[by_length]
+    live = np.searchsorted(-length, -np.arange(int(length[0])), "left")  # lanes longer than t
+    word = _words(data, "<u8")
+    shared, h = np.zeros(n, np.int64), np.zeros(len(lane), np.int64)
+    for t, lanes in enumerate(live.tolist()):
+        k = lane[:lanes] + t
+        h = h[:lanes]
+        i, j = place[k], other[k]
+        x = word[i + h] ^ word[j + h]
+        h += _same_bytes(x)
+        todo = np.flatnonzero((x == 0) & (h < most))
+        while len(todo):
+            x = word[i[todo] + h[todo]] ^ word[j[todo] + h[todo]]
+            h[todo] += _same_bytes(x)
+            todo = todo[(x == 0) & (h[todo] < most)]
+        np.minimum(h, most, out=h)
+        shared[k] = h
+        h = np.where(carries[k], np.maximum(h - 1, 0), 0)
+    by_order = np.empty(n, np.int64)
+    by_order[slot] = shared
+    out = np.full(n, most, np.int64)
+    out[head] = by_order[head]
+    out[0] = 0
     return out
 
 
+def _same_bytes(x: np.ndarray) -> np.ndarray:
+    """How many of the first, lowest, bytes of numbers are zero."""
+    low = (x & (~x + U64(1))).astype(np.float64).view(np.int64)  # the lowest bit alone, a power of two
+    return np.where(x == 0, 8, ((low >> 52) - 1023) >> 3)
+
+
 def _solve(plan: Plan):
     """For each chunk's contents, the strings that a document with a smaller key than the content's own has."""
 
@@ -380,8 +423,8 @@ def _solve(plan: Plan):
         owner = np.repeat(np.arange(len(size)), n)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         wanted = begin[owner] + within
-        order = suffix_order(data, wanted, plan.least)
-        equal = common_prefixes(data, order, plan.least) >= plan.least
+        order, group = suffix_order(data, wanted, plan.least)
+        equal = common_prefixes(data, order, group, plan.least) >= plan.least
         first = np.flatnonzero(~equal)
         text_of = np.empty(len(data), np.int64)
         text_of[wanted] = np.arange(len(wanted))
@@ -463,32 +506,34 @@ def _cuts(docs: DataFrame, plan: Plan, key: str, text: str, with_text: bool) ->
     spark = docs.sparkSession
     scratch = Scratch(spark)
     others = [c for c in docs.columns if c != text] if with_text else []
-    inner = T.StructType([docs.schema[c] for c in others] if others else [T.StructField("none", T.ByteType())])
+    # the table's own columns go by number, so that no name of theirs can clash
+    inner = T.StructType([T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(others)] if others else [T.StructField("none", T.ByteType())])
     schema = T.StructType([T.StructField("uid", T.LongType()), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("ids", "sizes", "d1", "d2")), T.StructField("extra", T.ArrayType(inner)), T.StructField("blob", T.BinaryType())])
-    asked = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text"), *(F.col(f"`{c}`") for c in others))
+    asked = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
     chunks = scratch.write(asked.mapInArrow(_chunk(plan, schema), schema), compression="uncompressed")
     # whole texts that a smaller key has
     whole = chunks.select("uid", F.explode(F.expr("transform(ids, (x, i) -> struct(x AS id, i AS i, sizes[i] AS size, d1[i] AS d1, d2[i] AS d2))")).alias("d")).select("uid", "d.*").where(F.col("id").isNotNull() & (F.col("size") >= plan.least))
     whole = scratch.write(whole)
     least = whole.groupBy("d1", "d2", "size").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high")
     copies = scratch.write(whole.join(least, ["d1", "d2", "size"]).where("id > low").groupBy("uid").agg(F.collect_list("i").alias("copies")))
+    scratch.drop(whole)
     total = chunks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(plan.buckets, total // plan.bucket_bytes)
     dealt = chunks.select("uid", "ids", "sizes", "d1", "blob").mapInArrow(_deal(plan, buckets), "bucket long, uid long, hashes binary, texts binary")
     told = scratch.write(dealt.groupBy("bucket").applyInArrow(_meet(plan), "uid long, bucket long, bits binary, n long"))
-    free_shuffles(spark)
-    told = told.groupBy("uid").agg(F.collect_list(F.struct("bucket", "bits", "n")).alias("told"))
-    sent = chunks.select("uid", "ids", "sizes", "blob").join(told, "uid").mapInArrow(_send(plan, buckets), "uid long, shard long, first long, sizes binary, keys binary, blob binary")
-    sent = scratch.write(sent, compression="uncompressed")
-    free_shuffles(spark)
-    answers = scratch.write(sent.where("shard >= 0").groupBy("shard").applyInArrow(_solve(plan), "uid long, answer binary"))
-    free_shuffles(spark)
+    by_chunk = told.groupBy("uid").agg(F.collect_list(F.struct("bucket", "bits", "n")).alias("told"))
+    sent = chunks.select("uid", "ids", "sizes", "blob").join(by_chunk, "uid").mapInArrow(_send(plan, buckets), "uid long, shard long, first long, sizes binary, keys binary, blob binary")
+    state, sent = scratch.write_parts(sent.withColumn("is_state", F.col("shard") < 0), "is_state", compression="uncompressed")
+    scratch.drop(told)
+    answers = scratch.write(sent.groupBy("shard").applyInArrow(_solve(plan), "uid long, answer binary"))
+    scratch.drop(sent)
     answers = answers.groupBy("uid").agg(F.collect_list("answer").alias("answers"))
-    state = sent.where("shard < 0").select("uid", F.col("blob").alias("state"))
+    state = state.select("uid", F.col("blob").alias("state"))
     last = chunks.select("uid", "ids", "sizes", "extra", "blob").join(state, "uid", "left").join(answers, "uid", "left").join(copies, "uid", "left")
     if with_text:
         out = last.mapInArrow(_cut(plan, True), T.StructType([T.StructField("extra", inner), T.StructField("text", T.StringType())]))
-        return out.select(*(F.col("text").alias(text) if c == text else F.col(f"extra.`{c}`").alias(c) for c in docs.columns))
+        place = {c: i for i, c in enumerate(others)}
+        return out.select(*(F.col("text").alias(c) if c == text else F.col(f"extra.c{place[c]}").alias(c) for c in docs.columns))
     return last.mapInArrow(_cut(plan, False), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -496,13 +541,17 @@ def repeated_passages(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id",
     """Per row: key, n_bytes, n_removed, n_spans, kept_sha256 of the bytes that stay.
 
     Null and empty texts have no bytes; a row without a key keeps all and takes nothing from
-    others; rows with equal keys don't take from each other; an empty table gives an empty table;
-    other columns aren't read.
+    others; rows with equal keys don't take from each other, so of rows that tie all keep what
+    they have first; very long texts are chunks of their own; an empty table gives an empty table;
+    other columns aren't read, whatever their names.
     """
     out = _cuts(docs, plan, key, text, False)
     return out.withColumnRenamed("id", key) if key != "id" else out
 
 
 def drop_repeated_passages(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
-    """The rows with all their columns and what stays of their texts; characters cut in part go too."""
+    """The rows with all their columns, of any names, and what stays of their texts; characters cut in part go too.
+
+    Odd rows are treated as by `repeated_passages`; a null text comes back empty.
+    """
     return _cuts(docs, plan, key, text, True)
