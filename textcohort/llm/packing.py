@@ -1,19 +1,24 @@
 """Mixture-controlled packing of token streams into fixed windows.
 
-Every source is a queue of its documents' tokens.  A schedule, known from the queues'
-lengths alone, says which interval of which queue each window takes: deficit round-robin
-adds a window's share to each source's deficit, serves whole tokens and carries the rest
-to the next window.  The schedule is cut into blocks of windows whose boundaries follow
-from exact integer arithmetic, so any task can work out the block it needs, starting
-from the deficits that the windows before it leave; nothing is gathered per source.
+Every source is a queue of its documents' tokens, served in quanta by deficit round-robin: all
+deficits grow in proportion to the target weights, a queue is served a quantum when its deficit
+has reached one, and what a window can't take stays owed, across windows and partitions.  So the
+k-th quantum of a queue is due at time k * quantum / weight, and the windows take the quanta in
+the order of these times.  No state passes from window to window: quanta are sorted by their
+times over all partitions, and a running sum of lengths, with the sums of the partitions before,
+says where each one lies.  A queue that runs dry has no more quanta, and the others go on in
+proportion.
+
+Quanta and windows are powers of two, so no quantum is cut by a window's end.  What a queue has
+beyond whole quanta is cut into powers of two too, and those come last, the largest first: they
+fill up windows without a gap, and the very last tokens are windows of powers of two.  Nothing
+is padded, and nothing grows with the number of sources but tables that are joined.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from fractions import Fraction
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -26,108 +31,10 @@ from . import _text, bpe
 from ._spark import Scratch, broadcast_upto
 from .tokens import DEFAULT_TOKENIZER
 
-BLOCK_WINDOWS = 2048
-MAX_QUEUES = 4096
+QUANTUM = 64
 MAX_BROADCAST_ROWS = 1_000_000
-
-
-class Schedule:
-    """Which tokens of which queue each window takes.
-
-    lengths: tokens of each queue.  weights: target proportions; default in proportion to the
-    lengths, so that all queues end together.  A queue that runs dry leaves its share to the
-    others in proportion to their weights.  All windows hold `size` tokens; what remains is
-    cut into windows of powers of two, so that nothing is padded.
-    """
-
-    def __init__(self, lengths: tuple[int, ...], size: int, weights: tuple[int, ...] | None = None, block: int = BLOCK_WINDOWS):
-        self.lengths, self.size, self.block = lengths, size, block
-        weights = lengths if weights is None else tuple(w or 1 for w in weights)
-        self.total = sum(lengths)
-        self.full, rest = divmod(self.total, size)
-        self.tail = [1 << b for b in reversed(range(size.bit_length())) if rest >> b & 1]
-        self.windows = self.full + len(self.tail)
-        live = [s for s, n in enumerate(lengths) if n]
-        self.ends = {s: Fraction(lengths[s], weights[s]) for s in live}
-        self.weights = weights
-        self.last = max(live, key=lambda s: (self.ends[s], s), default=0)  # takes the rounding, as it lasts longest
-        times = sorted({Fraction(0), *self.ends.values()})
-        self.knots = [(t, sum((min(Fraction(lengths[s]), weights[s] * t) for s in live), Fraction(0))) for t in times]
-
-    @lru_cache(maxsize=64)  # noqa: B019 - schedules live as long as their task
-    def edge(self, b: int) -> tuple[tuple[int, ...], tuple[float, ...]]:
-        """Tokens taken from each queue before block b, and the deficits carried into it."""
-        if b * self.block >= self.windows:
-            return self.lengths, tuple(0.0 for _ in self.lengths)
-        want = Fraction(b * self.block * self.size)
-        if b * self.block > self.full:
-            want = Fraction(self.full * self.size + sum(self.tail[: b * self.block - self.full]))
-        k = next(i for i, (_, tokens) in enumerate(self.knots) if tokens >= want)
-        if k == 0:
-            at = Fraction(0)
-        else:
-            (t0, y0), (t1, y1) = self.knots[k - 1], self.knots[k]
-            at = t0 + (want - y0) / (y1 - y0) * (t1 - t0)
-        exact = [min(Fraction(n), w * at) if n else Fraction(0) for n, w in zip(self.lengths, self.weights, strict=True)]
-        taken = [int(x) for x in exact]
-        taken[self.last] += int(want) - sum(taken)
-        return tuple(taken), tuple(float(x - y) for x, y in zip(exact, taken, strict=True))
-
-    def block_of(self, queue: int, position: int) -> int:
-        """The block whose windows take the token at a queue's position."""
-        low, high = 0, -(-self.windows // self.block)
-        while high - low > 1:
-            middle = (low + high) // 2
-            low, high = (middle, high) if self.edge(middle)[0][queue] <= position else (low, middle)
-        return low
-
-    @lru_cache(maxsize=32)  # noqa: B019
-    def serve(self, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """For block b: queue positions at its windows' edges, and where in the window each queue's share begins."""
-        (start, deficit), (stop, _) = self.edge(b), self.edge(b + 1)
-        first, last = b * self.block, min((b + 1) * self.block, self.windows)
-        sizes = [self.size] * max(0, min(last, self.full) - first) + self.tail[max(0, first - self.full) : max(0, last - self.full)]
-        owed, left = np.array(deficit), np.array(stop, np.int64) - np.array(start, np.int64)
-        rate = left / max(1, sum(sizes))
-        edges = np.zeros((len(sizes) + 1, len(left)), np.int64)
-        edges[0] = start
-        for i, size in enumerate(sizes):
-            owed = owed + rate * size
-            take = np.minimum(np.maximum(np.floor(owed + 1e-9), 0).astype(np.int64), left)
-            spare = size - int(take.sum())
-            while spare > 0:  # the largest deficits first
-                order = np.argsort(-(owed - take) + 1e18 * (take >= left), kind="stable")
-                order = order[take[order] < left[order]][:spare]
-                take[order] += 1
-                spare -= len(order)
-            if spare < 0:  # served ahead: the smallest deficits wait
-                for s in np.argsort(owed - take, kind="stable"):
-                    back = min(int(take[s]), -spare)
-                    take[s] -= back
-                    spare += back
-                    if not spare:
-                        break
-            left -= take
-            owed = owed - take
-            edges[i + 1] = edges[i] + take
-        shares = np.diff(edges, axis=0)
-        return edges, np.cumsum(shares, axis=1) - shares
-
-    def pieces(self, queue: int, position: int, length: int) -> Iterator[tuple[int, int, int, int]]:
-        """Cuts of queue[position : position + length]: offset in it, length, window, offset there."""
-        done = 0
-        b = self.block_of(queue, position) if length else 0
-        while done < length:
-            edges, begins = self.serve(b)
-            own = edges[:, queue]
-            w = int(np.searchsorted(own, position + done, "right")) - 1
-            while done < length and w < len(begins):
-                n = min(length - done, int(own[w + 1]) - position - done)
-                if n > 0:
-                    yield done, n, b * self.block + w, int(begins[w, queue]) + position + done - int(own[w])
-                    done += n
-                w += 1
-            b += 1
+NULL = "\0null"
+ORDER = ["rest", "late", "due", "queue", "place"]
 
 
 def tokenised(docs: DataFrame, path: str | None = None, end: int | None = 0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -159,62 +66,127 @@ def tokenised(docs: DataFrame, path: str | None = None, end: int | None = 0, key
                 packed = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((cut * wide).astype(np.int32)), pa.py_buffer(ids.tobytes())])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[i:j], pa.array(queues[i:j], pa.string()), pa.array(np.full(j - i, part, np.int64)), pa.array(before, pa.int64()), pa.array(np.diff(cut)), packed],
-                    names=[key, "queue", "part", "before", "n_tokens", "ids"],
+                    names=["key", "queue", "part", "before", "n_tokens", "ids"],
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.coalesce(F.col(source).cast("string"), F.lit("\0null")).alias("queue"), text).mapInArrow(run, f"`{key}` {kind}, queue string, part long, before long, n_tokens long, ids binary")
+    asked = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(NULL)).alias("queue"), F.col(f"`{text}`").alias("text"))
+    return asked.mapInArrow(run, f"key {kind}, queue string, part long, before long, n_tokens long, ids binary")
+
 
+def cuts(place: np.ndarray, length: np.ndarray, total: np.ndarray, quantum: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of the queue intervals [place, place + length): row, start in it, length, and size of the quantum they lie in.
 
-def pack(docs: DataFrame, size: int = 1024, weights: dict[str, float] | None = None, path: str | None = None, key: str = "doc_id", text: str = "text", source: str = "source", keep_ids: bool = False) -> DataFrame:
+    total: tokens of the interval's queue.  Whole quanta come first; the rest of a queue is cut
+    into powers of two, the largest first.
+    """
+    whole = total // quantum * quantum
+    stop = place + length
+    inside = np.minimum(stop, whole)  # where a row's part in whole quanta ends
+    n = np.where(inside > place, (inside - 1) // quantum - place // quantum + 1, 0)
+    row = np.repeat(np.arange(len(place)), n)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    edge = (place[row] // quantum + nth) * quantum
+    rows, starts, stops, sizes = [row], [np.maximum(edge, place[row])], [np.minimum(edge + quantum, inside[row])], [np.full(len(row), quantum)]
+    size = quantum // 2
+    edge = whole
+    while size:
+        has = (total & size) > 0
+        first, last = np.maximum(edge, place), np.minimum(edge + size, stop)
+        row = np.flatnonzero(has & (first < last))
+        rows.append(row)
+        starts.append(first[row])
+        stops.append(last[row])
+        sizes.append(np.full(len(row), size))
+        edge = edge + np.where(has, size, 0)
+        size //= 2
+    row, start, stop, size = (np.concatenate(x) for x in (rows, starts, stops, sizes))
+    order = np.lexsort((start, row))
+    row = row[order]
+    return row, start[order] - place[row], (stop - start)[order], size[order]
+
+
+def _pieces(quantum: int, keep_ids: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            place, length, total = (at[n].to_numpy(zero_copy_only=False) for n in ("place", "n_tokens", "total"))
+            row, start, size, quantum_of = cuts(place, length, total, quantum)
+            crc, own, of, tokens = np.zeros(len(row), np.int64), [], -1, b""
+            for k, (r, a, n) in enumerate(zip(row.tolist(), (4 * start).tolist(), (4 * size).tolist(), strict=True)):
+                if r != of:
+                    of, raw = r, at["ids"][r].as_buffer()
+                    tokens = memoryview(np.frombuffer(raw, np.uint16 if len(raw) == 2 * length[r] else np.uint32).astype("<u4").tobytes())
+                crc[k] = zlib.crc32(tokens[a : a + n])
+                if keep_ids:
+                    own.append(bytes(tokens[a : a + n]))
+            whose = pa.array(row)
+            where = place[row] + start
+            # the end of a quantum is when it is due; the rests of a queue are due in the order of their sizes
+            due = np.where(quantum_of == quantum, (where // quantum + 1) * quantum, total[row]) / at["weight"].to_numpy(zero_copy_only=False)[row]
+            out = [at["key"].take(whose), pa.array(start), pa.array(size), pa.array(crc), pa.array(length[row]), pa.array((quantum - quantum_of).astype(np.int64)), at["late"].take(whose), pa.array(due), at["queue"].take(whose), pa.array(where)]
+            yield pa.RecordBatch.from_arrays(out + [pa.array(own, pa.binary())] * keep_ids, names=["key", "start", "length", "ids_crc32", "doc_tokens", *ORDER] + ["ids"] * keep_ids)
+
+    return run
+
+
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the task's number and the tokens that it has had before each piece."""
+    task, had = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        length = batch.column(2).to_numpy(zero_copy_only=False)
+        upto = had + np.cumsum(length)
+        had = int(upto[-1]) if len(upto) else had
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), task, np.int64)), pa.array(upto - length)], names=[*batch.schema.names, "task", "within"])
+
+
+def pack(docs: DataFrame, size: int = 1024, weights: dict[str, float] | None = None, path: str | None = None, key: str = "doc_id", text: str = "text", source: str = "source", keep_ids: bool = False, quantum: int = QUANTUM) -> DataFrame:
     """Pack all documents: key, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
+    weights: target proportions of sources; without any, each source's share is that of its
+    tokens, so that all end together.  A source that isn't named, or at 0, comes after all others,
+    in proportion to its tokens.  size and quantum are powers of two.
+
     Each token of each document, with its end id, lies in one piece.  Null and empty texts are
-    the end id alone; a null source is a queue of its own; a repeated row is packed again; an
-    empty table gives no pieces; other columns aren't read.  Beyond MAX_QUEUES sources, queues
-    are hash groups of sources.  The tokenised table is written once; each later task places its
-    own documents from the schedule, so no text or token is shuffled.
+    the end id alone; very long texts are cut like others; a null source is a queue of its own;
+    quanta that are due at once come in the order of their sources' names; repeated rows and rows
+    without a key are packed each; an empty table gives no pieces; other columns aren't read,
+    whatever their names.  The pieces, without their tokens, are sorted by a range shuffle.
     """
+    quantum = min(quantum, size)
+    if size & (size - 1) or quantum & (quantum - 1) or quantum < 1:
+        raise ValueError("size and quantum must be powers of two")
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    names = F.coalesce(F.col(source).cast("string"), F.lit("\0null"))
-    if docs.select(names.alias("q")).distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        if weights:
-            raise ValueError(f"target weights need at most {MAX_QUEUES} sources")
-        docs = docs.withColumn(source, F.concat(F.lit("\0"), F.pmod(F.xxhash64(names), F.lit(MAX_QUEUES)).cast("string")))
     ids = scratch.write(tokenised(docs, path, key=key, text=text, source=source))
     parts = scratch.write(ids.groupBy("queue", "part").agg(F.sum("n_tokens").alias("n")))
-    lengths = {r.queue: r.n for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most MAX_QUEUES rows
-    queues = sorted(lengths)
-    base = parts.select("queue", "part", (F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")).alias("base"))
-    whole = tuple(lengths[q] for q in queues)
-    target = None
+    total = parts.groupBy("queue").agg(F.sum("n").alias("total"))
     if weights:
-        target = tuple(round(10**9 * weights.get(q, 0)) for q in queues)
-    number = {q: i for i, q in enumerate(queues)}
-    joined = ids.join(broadcast_upto(base, MAX_BROADCAST_ROWS), ["queue", "part"]).select(key, "queue", (F.col("base") + F.col("before")).alias("position"), "n_tokens", "ids")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan = Schedule(whole, size, target)
-        for batch in batches:
-            rows, start, length, crc, window, offset, own = [], [], [], [], [], [], []
-            binary = batch.column(4)
-            for r, (q, position, n) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                raw = binary[r].as_buffer()
-                tokens = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype("<u4").tobytes()
-                for at, m, w, o in plan.pieces(number[q], position, n):
-                    rows.append(r)
-                    start.append(at)
-                    length.append(m)
-                    crc.append(zlib.crc32(tokens[4 * at : 4 * (at + m)]))
-                    window.append(w)
-                    offset.append(o)
-                    if keep_ids:
-                        own.append(tokens[4 * at : 4 * (at + m)])
-            which = pa.array(rows, pa.int64())
-            out = [batch.column(0).take(which), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), batch.column(3).take(which), pa.array(window, pa.int64()), pa.array(offset, pa.int64())]
-            names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-            yield pa.RecordBatch.from_arrays(out + [pa.array(own, pa.binary())] * keep_ids, names=names + ["ids"] * keep_ids)
-
+        target = spark.createDataFrame([(q, float(w)) for q, w in weights.items() if w > 0], "queue string, target double")
+        total = total.join(F.broadcast(target), "queue", "left").select("queue", "total", F.coalesce("target", F.col("total").cast("double")).alias("weight"), F.col("target").isNull().alias("late"))
+    else:
+        total = total.select("queue", "total", F.col("total").cast("double").alias("weight"), F.lit(False).alias("late"))
+    base = parts.select("queue", "part", (F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")).alias("base"))  # a row for each task that read the queue
+    plan = base.join(total, "queue")
     kind = docs.schema[key].dataType.simpleString()
-    return joined.mapInArrow(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * keep_ids)
+    columns = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, rest long, late boolean, due double, queue string, place long" + ", ids binary" * keep_ids
+    joined = ids.join(broadcast_upto(plan, MAX_BROADCAST_ROWS), ["queue", "part"]).select("key", "queue", (F.col("base") + F.col("before")).alias("place"), "n_tokens", "total", "weight", "late", "ids")
+    pieces = scratch.write(joined.mapInArrow(_pieces(quantum, keep_ids), columns))
+    scratch.drop(ids)
+    ordered = pieces.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).drop(*ORDER)
+    columns = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
+    placed = scratch.write(ordered.mapInArrow(_running, columns + ", task long, within long"))
+    scratch.drop(pieces)
+    sums, before, tokens = sorted(placed.groupBy("task").agg(F.sum("length")).collect()), [], 0  # a row for each task
+    for task, n in sums:
+        before.append((task, tokens))
+        tokens += n
+    at = F.col("before") + F.col("within")
+    full, rest = divmod(tokens, size)
+    number, first = F.floor(at / size), F.floor(at / size) * size
+    start = full * size
+    for k, b in enumerate(x for x in reversed(range(size.bit_length())) if rest >> x & 1):
+        number, first = F.when(at >= start, full + k).otherwise(number), F.when(at >= start, start).otherwise(first)
+        start += 1 << b
+    out = placed.join(F.broadcast(spark.createDataFrame(before, "task long, before long")), "task")
+    return out.select(F.col("key").alias(key), "start", "length", "ids_crc32", "doc_tokens", number.cast("long").alias("sequence_id"), (at - first).cast("long").alias("offset"), *(["ids"] if keep_ids else []))

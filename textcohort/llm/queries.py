@@ -32,8 +32,12 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(told.unionByName(added)))
 
 
+#: Target proportions of the sources in each window: the largest one is held to 4 in 23.
+PROPORTIONS = {"src0": 4.0} | {f"src{i}": 1.0 for i in range(1, 20)}
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), weights=PROPORTIONS)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
