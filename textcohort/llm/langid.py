@@ -5,6 +5,10 @@ for every order, one sorted array of n-gram hashes over all languages and the lo
 of each n-gram in each language, with backing-off already worked in; contexts have their own
 arrays of interpolation weights for n-grams that no language has seen.  A text gets the
 language of least cross-entropy per character.
+
+The models are fitted on all rows of a language, or, beyond TRAIN_ROWS, on a uniform sample of
+about that many, drawn by a hash; this bounds what the driver holds and broadcasts.  Of the
+sampled rows all n-grams count.  Limits of rejection come from labelled rows that no model saw.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from .bpe import code_points
 
 ORDER = 4
 MAX_LANGUAGES = 500
+TRAIN_ROWS = 200_000
+CALIBRATE_ONE_IN = 8
 REJECTED_SHARE = 0.001
 SHARPNESS = 5.0
 U64 = np.uint64
@@ -206,9 +212,14 @@ class KneserNey:
         return -out / np.maximum(seen, 1)[:, None], n_letters
 
 
-def train(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str = "lang") -> KneserNey:
-    """Models from all n-grams of all texts with a language; the driver holds grams x languages numbers."""
-    top = ngram_counts(docs, order, text, lang).toPandas()
+def train(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> KneserNey:
+    """Models from all n-grams of at most about `rows` texts a language; the driver holds grams x languages numbers."""
+    docs = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).where("lang IS NOT NULL")
+    many = docs.groupBy("lang").count().where(F.col("count") > rows).collect()
+    draw = F.pmod(F.xxhash64("text", F.lit("train")), F.lit(1 << 30)) / F.lit(1 << 30)
+    for r in many:  # languages with more
+        docs = docs.where((F.col("lang") != r["lang"]) | (draw < rows / r["count"]))
+    top = ngram_counts(docs, order).toPandas()
     langs = sorted(top.lang.unique())
     grams = np.frombuffer(b"".join(map(bytes, top.gram)), "<u4").reshape(-1, order).astype(np.int64)
     index = {x: k for k, x in enumerate(langs)}
@@ -220,9 +231,10 @@ def identify(docs: DataFrame, model: KneserNey, key: str = "doc_id", text: str =
 
     score is the share of the best language in the softmax of the languages' log-likelihoods of
     SHARPNESS characters.  lang_pred is `und` and score 0 for texts without a letter, and if no
-    language was learned.
+    language was learned; of languages that tie the first by name is taken.  Very long texts are
+    scored whole.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # grows with the distinct n-grams
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most the n-grams of TRAIN_ROWS texts a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -249,17 +261,22 @@ def identify(docs: DataFrame, model: KneserNey, key: str = "doc_id", text: str =
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, entropy double")
 
 
-def detect(docs: DataFrame, order: int = ORDER, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def detect(docs: DataFrame, order: int = ORDER, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> DataFrame:
     """Predictions for all rows, learned from rows with crc32(key) mod 3 other than 1.
 
-    Adds held_out.  The model keeps all n-grams of the training texts.  rejected marks texts whose cross-entropy exceeds that of all but REJECTED_SHARE of
-    the training texts predicted alike.  Null texts are predicted `und` and teach nothing; null languages
-    teach nothing; repeated rows count each; an empty table gives an empty table; columns other
-    than these three aren't read.
+    Adds held_out and rejected, which marks texts whose cross-entropy exceeds that of all but
+    REJECTED_SHARE of the labelled texts predicted alike that were put aside for this, one in
+    CALIBRATE_ONE_IN.  Null texts are predicted `und` and teach nothing; null languages teach
+    nothing; rows without a key are learned from; repeated rows count each; an empty table gives
+    an empty table; columns other than these three aren't read, whatever their names.
     """
-    fold = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(3))
-    training = docs.where((fold != 1) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, text, lang)
-    model = train(training, order, text, lang)
-    scored = Scratch(docs.sparkSession).write(identify(docs, model, key, text).withColumn("held_out", fold == 1))
-    limits = scored.where("NOT held_out AND entropy IS NOT NULL").groupBy("lang_pred").agg(F.percentile_approx("entropy", 1 - REJECTED_SHARE, 10_000).alias("__limit"))
-    return scored.join(broadcast_upto(limits, MAX_LANGUAGES), "lang_pred", "left").select(key, "held_out", "lang_pred", "score", "entropy", F.coalesce(F.col("entropy") > F.col("__limit"), F.lit(False)).alias("rejected"))
+    own = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
+    fold = F.pmod(F.crc32(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary")), F.lit(3))
+    aside = F.pmod(F.xxhash64("text", F.lit("calibrate")), F.lit(CALIBRATE_ONE_IN)) == 0
+    labelled = (fold != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()
+    model = train(own.where(labelled & ~aside), order, rows=rows)
+    flagged = own.select(F.struct("key", fold.alias("fold"), (labelled & aside).alias("aside")).alias("about"), "text")
+    scored = Scratch(docs.sparkSession).write(identify(flagged, model, "about").select("about.*", "lang_pred", "score", "entropy"))
+    limits = scored.where("aside AND entropy IS NOT NULL").groupBy("lang_pred").agg(F.percentile_approx("entropy", 1 - REJECTED_SHARE, 10_000).alias("limit"))
+    out = scored.join(broadcast_upto(limits, MAX_LANGUAGES), "lang_pred", "left")
+    return out.select(F.col("key").alias(key), (F.col("fold") == 1).alias("held_out"), "lang_pred", "score", "entropy", F.coalesce(F.col("entropy") > F.col("limit"), F.lit(False)).alias("rejected"))
