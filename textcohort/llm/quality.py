@@ -3,6 +3,10 @@
 A sketch is a histogram over integer bins that keep eight significant bits, so sketches
 merge by adding counts, in any order and with the same result, and a quantile is off by
 less than one part in 128.  Small groups use the merged sketch of their language, then of all.
+
+A fence lies SPREADS spreads and a fixed slack beyond a quartile.  The spread is that between the
+quartiles, or, if larger, that from the median to the outer tenth, so that a fence also adapts to
+features that most of a group's documents don't have.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text
-from ._spark import Scratch, broadcast_upto
+from ._spark import Scratch, broadcast_upto, numbered, renamed
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 COUNTS = [*BASE, "n_lines"]
@@ -121,11 +125,12 @@ def thresholds(counted: DataFrame, lang: str = "lang", source: str = "source", p
     merged = sketch.select(levels.alias("g"), "feature", "bin", "n").groupBy("g", "feature", "bin").agg(F.sum("n").alias("n"))
     key = Window.partitionBy("g", "feature")
     seen = merged.select("g", "feature", "bin", F.sum("n").over(key.orderBy("bin")).alias("upto"), F.sum("n").over(key).alias("total"))
-    quarter = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("total"), F.col("bin")))
-    q = seen.groupBy("g", "feature").agg(F.max("total").alias("total"), quarter(1).alias("q1"), quarter(3).alias("q3"))
+    quantile = lambda k: F.min(F.when(100 * F.col("upto") >= k * F.col("total"), F.col("bin"))).alias(f"q{k}")
+    q = seen.groupBy("g", "feature").agg(F.max("total").alias("total"), *(quantile(k) for k in (10, 25, 50, 75, 90)))
+    middle = F.col("q75") - F.col("q25")
     slack = F.coalesce(*(F.when(F.col("feature") == f, F.lit(v[3])) for f, v in FEATURES.items()))
     two = F.col("feature").isin(*TWO_SIDED)
-    fences = q.select("g", "feature", "total", F.when(two, F.col("q1") - SPREADS * (F.col("q3") - F.col("q1")) - slack).alias("low"), (F.col("q3") + SPREADS * (F.col("q3") - F.col("q1")) + slack).alias("high"))
+    fences = q.select("g", "feature", "total", F.when(two, F.col("q25") - SPREADS * F.greatest(middle, F.col("q50") - F.col("q10")) - slack).alias("low"), (F.col("q75") + SPREADS * F.greatest(middle, F.col("q90") - F.col("q50")) + slack).alias("high"))
     own = fences.where("g.level = 0").select(F.col("g.l").alias("l0"), F.col("g.s").alias("s0"), "feature", F.struct("total", "low", "high").alias("a"))
     lang_ = fences.where("g.level = 1").select(F.col("g.l").alias("l0"), "feature", F.struct("total", "low", "high").alias("b"))
     all_ = fences.where("g.level = 2").select("feature", F.struct("total", "low", "high").alias("c"))
@@ -150,23 +155,26 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """Per row: key, the counts of BASE, base_failed, kept.
 
     Null and empty texts have no words and fail; null languages and sources are groups of their
-    own; repeated rows are judged each; an empty table gives an empty table; other columns
-    aren't read.  Only histogram counts are shuffled, partly added up before; the fences, one row
+    own; rows without a key and repeated rows are judged each; a value equal to its fence passes;
+    very long texts are counted whole; an empty table gives an empty table; other columns aren't
+    read, whatever their names.  Only histogram counts are shuffled, partly added up before; the fences, one row
     per language and source, are broadcast up to MAX_BROADCAST_ROWS rows, else joined by shuffle.
     """
     scratch = Scratch(docs.sparkSession)
     counted = scratch.write(with_counts(docs.select(key, lang, source, text), text).drop(text))
-    fences = scratch.write(thresholds(counted, lang, source).coalesce(1))
+    fences = scratch.write(thresholds(counted, lang, source))
     return judge(counted, fences, lang, source).select(key, *(F.col("__q_" + c).alias(c) for c in BASE), F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
 def filter_quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows that pass, with their own columns.  Texts are read twice and not shuffled."""
+    """The rows that pass, with their own columns, of any names.  Texts are read twice and not shuffled."""
     scratch = Scratch(docs.sparkSession)
-    counted = scratch.write(with_counts(docs.select(lang, source, text), text).drop(text))
-    fences = scratch.write(thresholds(counted, lang, source).coalesce(1))
+    own, names = numbered(docs)
+    text, lang, source = names[text], names[lang], names[source]
+    counted = scratch.write(with_counts(own.select(lang, source, text), text).drop(text))
+    fences = scratch.write(thresholds(counted, lang, source))
     scratch.drop(counted)
-    return judge(with_counts(docs, text), fences, lang, source).where("__kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return judge(with_counts(own, text), fences, lang, source).where("__kept").select(*renamed(names))
 
 
 def oracle() -> str:
@@ -176,6 +184,7 @@ def oracle() -> str:
     odd = " OR ".join([f"coalesce({values[f]} > (SELECT max(high) FROM best t WHERE t.l = v.l AND t.s = v.s AND t.feature = '{f}'), false)" for f in FEATURES] + [f"coalesce({values[f]} < (SELECT max(low) FROM best t WHERE t.l = v.l AND t.s = v.s AND t.feature = '{f}'), false)" for f in TWO_SIDED])
     bins = " UNION ALL ".join(f"SELECT l, s, '{f}' AS feature, {e} AS x FROM counted WHERE NOT base_failed" for f, e in values.items())
     slack = "CASE feature " + " ".join(f"WHEN '{f}' THEN {v[3]}" for f, v in FEATURES.items()) + " END"
+    quantiles = ", ".join(f"min(bin) FILTER (WHERE 100 * upto >= {k} * total) AS q{k}" for k in (10, 25, 50, 75, 90))
     two = "feature IN (" + ", ".join(f"'{f}'" for f in TWO_SIDED) + ")"
     return f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(lang, '{NULL[1:]}0') AS l, coalesce(source, '{NULL[1:]}0') AS s, coalesce(text, '') AS t FROM documents),
@@ -192,8 +201,8 @@ x AS ({bins}),
 b AS (SELECT l, s, feature, (x >> greatest(length(bin(x)) - 8, 0)) << greatest(length(bin(x)) - 8, 0) AS bin FROM x),
 levels AS (SELECT 0 AS level, * FROM b UNION ALL SELECT 1, l, '', feature, bin FROM b UNION ALL SELECT 2, '', '', feature, bin FROM b),
 upto AS (SELECT level, l, s, feature, bin, sum(n) OVER (PARTITION BY level, l, s, feature ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY level, l, s, feature) AS total FROM (SELECT level, l, s, feature, bin, count(*) AS n FROM levels GROUP BY ALL)),
-q AS (SELECT level, l, s, feature, max(total) AS total, min(bin) FILTER (WHERE 4 * upto >= total) AS q1, min(bin) FILTER (WHERE 4 * upto >= 3 * total) AS q3 FROM upto GROUP BY ALL),
-f AS (SELECT level, l, s, feature, total, CASE WHEN {two} THEN q1 - {SPREADS} * (q3 - q1) - {slack} END AS low, q3 + {SPREADS} * (q3 - q1) + {slack} AS high FROM q),
+q AS (SELECT level, l, s, feature, max(total) AS total, {quantiles} FROM upto GROUP BY ALL),
+f AS (SELECT level, l, s, feature, total, CASE WHEN {two} THEN q25 - {SPREADS} * greatest(q75 - q25, q50 - q10) - {slack} END AS low, q75 + {SPREADS} * greatest(q75 - q25, q90 - q50) + {slack} AS high FROM q),
 best AS (SELECT a.l, a.s, feature, CASE WHEN a.total >= {MIN_GROUP} THEN a.low WHEN b.total >= {MIN_GROUP} THEN b.low ELSE c.low END AS low, CASE WHEN a.total >= {MIN_GROUP} THEN a.high WHEN b.total >= {MIN_GROUP} THEN b.high ELSE c.high END AS high
   FROM (SELECT * FROM f WHERE level = 0) a JOIN (SELECT l, feature, total, low, high FROM f WHERE level = 1) b USING (l, feature) JOIN (SELECT feature, low, high FROM f WHERE level = 2) c USING (feature))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({odd}) AS kept FROM counted v
