@@ -87,30 +87,28 @@ def n_tokens(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long")
 
 
-def _order(seed: int, epoch: Column, key: str, text: str) -> Column:
-    """A row's place in a seeded epoch; equal rows share one."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), epoch, F.col(key), F.col(text)), 2)
-
-
-def mix(docs: DataFrame, mixture: Mixture, domain: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The selected rows with their own columns, and __epoch and __tokens.
+def mix(docs: DataFrame, mixture: Mixture, domain: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", extra: bool = True) -> DataFrame:
+    """The selected rows with their own columns, and, with extra, __epoch and __tokens.
 
     A leaf's budget fills floor(budget / tokens) whole epochs; of the next one it takes the
     longest prefix of rows, in seeded order, that fits the rest, so a leaf never exceeds its
-    budget.  Equal rows are taken together or not at all within an epoch.  Null languages and
-    sources are nodes of their own; rows without words count no tokens and come with the prefix
-    they fall in; an empty table gives an empty table; a clashing __epoch or __tokens column of
-    the input is replaced.  Every source is planned by itself: those without a weight of their own
-    that hold as many tokens get the same budget, so the driver sees a row for each number of
-    tokens in a domain and language.  Texts are read once more at the end, and shuffled only if
-    there are more than MAX_LEAVES leaves to broadcast.
+    budget.  Equal rows, which tie, are taken together or not at all within an epoch.  Null
+    languages and sources are nodes of their own; rows without words (null, empty) count no tokens
+    and come with the prefix they fall in; a very long text that doesn't fit ends its leaf's
+    prefix; an empty table gives an empty table; columns of any names stay, but with extra an
+    __epoch or __tokens of the input is replaced.  Every source is planned by itself: those
+    without a weight of their own that hold as many tokens get the same budget, so the driver sees
+    a row for each number of tokens in a domain and language.  Texts are read once more at the
+    end, and shuffled only if there are more than MAX_LEAVES leaves to broadcast.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    own = [c for c in docs.columns if c not in ("__epoch", "__tokens", *LEVELS, "__leaf")]
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # the table's columns go by number, so that none clashes
     as_node = lambda c: F.coalesce(c.cast("string"), F.lit(NULL))
-    node = {"__domain": as_node(domain) if domain is not None else F.lit("all"), "__lang": as_node(F.col(lang)), "__source": as_node(F.col(source))}
-    sized = scratch.write(docs.select(*(c.alias(n) for n, c in node.items()), F.col(key).alias("key"), F.xxhash64(F.col(key), F.col(text)).alias("row"), n_tokens(F.col(text)).alias("n")))
+    node = {"__domain": as_node(domain) if domain is not None else F.lit("all"), "__lang": as_node(F.col(f"`{lang}`")), "__source": as_node(F.col(f"`{source}`"))}
+    docs = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()), *(c.alias(n) for n, c in node.items()))
+    key, text = own[key], own[text]
+    sized = scratch.write(docs.select(*LEVELS, F.xxhash64(F.col(key), F.col(text)).alias("row"), n_tokens(F.col(text)).alias("n")))
     named = spark.createDataFrame([(*p, True) for p in mixture.weights if len(p) == 3], "__domain string, __lang string, __source string, named boolean")
     kind = F.when(F.col("named"), F.col("__source")).otherwise(F.concat(F.lit(ALIKE), F.col("n").cast("string")))
     leaves = sized.groupBy(*LEVELS).agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
@@ -159,6 +157,7 @@ def mix(docs: DataFrame, mixture: Mixture, domain: Column | None = None, key: st
     chosen = scratch.write(planned.join(crossed, LEVELS, "left").select(*LEVELS, F.col("full").alias("__full"), until.alias("__cut")))
     at = F.shiftrightunsigned(F.xxhash64(F.lit(mixture.seed), F.col("__full"), F.xxhash64(F.col(key), F.col(text))), 2)
     times = F.col("__full") + F.when(at < F.col("__cut"), 1).otherwise(0)
-    picked = docs.select(*(F.col(f"`{c}`") for c in own)).withColumns(node).join(broadcast_upto(chosen, MAX_LEAVES), LEVELS).withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1)))) if mixture.max_epochs > 1 else F.lit(1))
+    picked = docs.join(broadcast_upto(chosen, MAX_LEAVES), LEVELS).withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1)))) if mixture.max_epochs > 1 else F.lit(1))
     picked = picked.where(times >= F.col("__epoch")).withColumn("__epoch", F.col("__epoch").cast("long") - 1)
-    return picked.select(*(F.col(f"`{c}`") for c in own), "__epoch", n_tokens(F.col(text)).alias("__tokens"))
+    more = [F.col("__epoch"), n_tokens(F.col(text)).alias("__tokens")] if extra else []
+    return picked.select(*(F.col(n).alias(c) for c, n in own.items() if not extra or c not in ("__epoch", "__tokens")), *more)
