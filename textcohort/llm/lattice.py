@@ -75,8 +75,8 @@ def projections(dim: int, lattice: Lattice) -> np.ndarray:
     for t in range(lattice.tables):
         g = rng.normal(size=(max(dim, wide), wide))
         out[t] = np.linalg.qr(g)[0][:dim] if dim >= wide else g[:dim] / np.sqrt(wide)
-    # shorter vectors keep more of their length in the projection: same cells for the same distances
-    return out * np.sqrt(max(1.0, dim / 64)) if dim >= wide else out
+    # a projection keeps wide / dim of a squared distance, all of it where dim <= wide: scaled to that at 64 dimensions
+    return out * np.sqrt(max(dim, wide) / 64)
 
 
 def cells(unit: np.ndarray, lattice: Lattice) -> np.ndarray:
