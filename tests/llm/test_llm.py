@@ -91,37 +91,88 @@ def test_token_counts_of_odd_rows(spark, odd, none, library):
 # ----- packing
 
 
+def served(lengths, weights, late, quantum):
+    """Deficit round-robin step by step: the queues in the order in which they get whole quanta."""
+    out = []
+    for names in ([q for q in lengths if q not in late], [q for q in lengths if q in late]):
+        left = {q: lengths[q] // quantum for q in names}
+        had = dict.fromkeys(names, 0)
+        while any(left.values()):
+            # the time until each deficit has grown to a quantum
+            q = min((q for q in names if left[q]), key=lambda q: ((had[q] + quantum) / weights[q], q))
+            had[q] += quantum
+            left[q] -= 1
+            out.append(q)
+    return out
+
+
 @pytest.mark.parametrize("weights", [None, {"a": 1.0, "b": 3.0, "c": 0.5}])
-def test_packing_places_every_token_once(spark, odd, library, weights):
-    got = packing.pack(odd.where("doc_id IS NOT NULL AND doc_id <> 3"), 64, weights, keep_ids=True).toPandas()
-    ids = {d: library.encode(t or "").ids + [0] for d, t, *_ in ODD}
-    for d, g in got.groupby("doc_id"):
-        g = g.sort_values("start")
-        assert np.concatenate([np.frombuffer(x, "<u4") for x in g.ids]).tolist() == ids[d]
-        assert (g.start.to_numpy() == np.cumsum(g.length) - g.length).all() and (g.doc_tokens == len(ids[d])).all()
-        assert all(zlib.crc32(x) == c for x, c in zip(g.ids, g.ids_crc32, strict=True))
-    for _, g in got.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
-        assert (g.offset == g.length.cumsum() - g.length).all()
+def test_packing_equals_round_robin(spark, odd, library, weights):
+    rng = random.Random(8)
+    more = [(1000 + i, " ".join(rng.choice(["alpha", "beta", "naïve", "x1"]) for _ in range(rng.randint(0, 60))), "en", rng.choice("aabcd"), 1) for i in range(300)]
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(more, SCHEMA))
+    got = packing.pack(docs.repartition(5), 64, weights, keep_ids=True, quantum=8).toPandas()
+    rows = [*ODD, *more]
+    # every row once: pieces of one document (rows of one key) cover all its copies' tokens
+    ids = {}
+    for d, t, *_ in rows:
+        ids.setdefault(d, []).append(library.encode(t or "").ids + [0])
+    got["doc_id"] = got.doc_id.astype(object).where(got.doc_id.notna(), None)
+    assert all(zlib.crc32(x) == c and len(x) == 4 * n for x, c, n in zip(got.ids, got.ids_crc32, got.length, strict=True))
+    for d, copies in ids.items():
+        g = got[got.doc_id == d] if d is not None else got[got.doc_id.isna()]
+        want = copies[0]
+        assert all(c == want for c in copies) and (g.doc_tokens == len(want)).all()
+        held = np.zeros(len(want), int)
+        for x, a, n in zip(g.ids, g.start, g.length, strict=True):
+            assert np.frombuffer(x, "<u4").tolist() == want[a : a + n]
+            held[a : a + n] += 1
+        assert (held == len(copies)).all()
+    got = got.sort_values(["sequence_id", "offset"])
+    for _, g in got.groupby("sequence_id"):
         n = g.length.sum()
-        assert n == 64 or n & (n - 1) == 0
+        assert (g.offset == g.length.cumsum() - g.length).all() and (n == 64 or n & (n - 1) == 0)
+    assert (got.groupby("sequence_id").length.sum().sort_index().iloc[:-6] == 64).all()
+    # the quanta of the windows are those of a round-robin done step by step
+    queue = {d: s for d, _, _, s, _ in rows}
+    name = [queue[d] or "\0null" for d in got.doc_id]
+    lengths = Counter()
+    for d, _, _, s, _ in rows:
+        lengths[s or "\0null"] += len(ids[d][0])
+    late = set(lengths) - set(weights or lengths)
+    want = served(lengths, {q: (weights or {}).get(q, lengths[q]) for q in lengths}, late, 8)
+    flat = np.repeat(name, got.length)
+    whole = [flat[8 * k : 8 * k + 8] for k in range(len(want))]
+    assert all(len(set(x)) == 1 for x in whole) and [x[0] for x in whole] == want
+    if weights:  # while all named queues last, each has its share but for a quantum
+        n = np.cumsum([w == "b" for w in want]) * 8
+        lasts = int(min(lengths[q] / w for q, w in weights.items()) * sum(weights.values()) / 8) - 3
+        share = 3 / 4.5 * 8 * np.arange(1, lasts + 1)
+        assert lasts > 10 and (abs(n[:lasts] - share) <= 16).all()
     assert packing.pack(odd.limit(0)).count() == 0
 
 
-def test_schedule_keeps_proportions():
-    s = packing.Schedule((10_000, 5_000, 1_000), 128, None, block=8)
-    for b in range(-(-s.windows // 8)):
-        edges, _ = s.serve(b)
-        assert (np.diff(edges, axis=0) >= 0).all() and edges[-1].tolist() == list(s.edge(b + 1)[0])
-    shares = np.diff(s.serve(3)[0], axis=0)
-    assert (abs(shares[:, 0] - 80) <= 1).all() and (abs(shares[:, 2] - 8) <= 1).all()
+def test_packing_has_no_limit_of_sources(spark):
+    """Every source keeps a queue of its own beyond thousands of them, with and without targets."""
+    docs = spark.range(9000).selectExpr("id AS doc_id", "repeat('w ', 20) AS text", "concat('host', id % 4500) AS source")
+    for weights, share in ((None, 1 / 4500), ({f"host{i}": 3.0 if i == 7 else 1.0 for i in range(4500)}, 3 / 4502)):
+        got = packing.pack(docs, 64, weights, quantum=8).withColumn("host", F.expr("doc_id % 4500")).where("host = 7").toPandas()
+        n, first = got.length.sum(), got.sequence_id.min() * 64
+        assert n == got.groupby("doc_id").doc_tokens.first().sum()
+        # its quanta come one by one at the distance that its share asks for
+        place = (got.sequence_id * 64 + got.offset).sort_values()
+        assert abs((place.iloc[4] - first) / 32 - 1 / share / 1) < 0.3 / share or place.iloc[-1] - first > 3 / share
 
 
-def test_schedule_with_exhausted_queue():
-    s = packing.Schedule((100, 5_000), 64, (1, 1), block=4)
-    total = np.zeros(2, int)
-    for b in range(-(-s.windows // 4)):
-        total += s.serve(b)[0][-1] - s.serve(b)[0][0]
-    assert total.tolist() == [100, 5_000]
+def test_cuts_cover_intervals():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        length = rng.integers(0, 40, 12)
+        place = np.cumsum(length) - length
+        row, start, size, quantum = packing.cuts(place, length, np.full(12, length.sum()), 8)
+        at = place[row] + start
+        assert (at == np.cumsum(size) - size).all() and size.sum() == length.sum()
+        assert (at // quantum == (at + size - 1) // quantum).all() and (quantum[at < length.sum() // 8 * 8] == 8).all()
 
 
 # ----- quality, licences, chat
@@ -321,16 +372,20 @@ def test_repeated_passages_of_odd_rows(odd, none):
     assert suffixes.repeated_passages(none).count() == 0
 
 
-def test_suffix_order_and_prefixes():
-    data = np.random.default_rng(4).integers(97, 99, 3000).astype(np.uint8)
-    wanted = np.arange(2950)
-    order = suffixes.suffix_order(data, wanted, 50)
-    raw = data.tobytes()
-    assert [raw[i : i + 50] for i in order] == sorted(raw[i : i + 50] for i in wanted)
-    lcp = suffixes.common_prefixes(data, order, 50)
-    for a, b, n in zip(order[:-1], order[1:], lcp[1:], strict=True):
-        exact = next((k for k in range(50) if raw[a + k] != raw[b + k]), 50)
-        assert n == (exact if exact >= 48 else exact - exact % 8)
+@pytest.mark.parametrize("letters,seed", [(2, 4), (3, 5), (1, 6), (26, 7)])
+def test_suffix_order_and_prefixes(letters, seed):
+    """Kasai's prefixes equal those compared byte by byte, also where not every position is wanted."""
+    rng = np.random.default_rng(seed)
+    data = rng.integers(97, 97 + letters, 3000).astype(np.uint8)
+    data[1500:1800] = data[200:500]
+    for wanted in (np.arange(2950), np.flatnonzero(np.arange(2950) % 300 < 170)):
+        order, group = suffixes.suffix_order(data, wanted, 50)
+        raw = data.tobytes()
+        assert [raw[i : i + 50] for i in order] == sorted(raw[i : i + 50] for i in wanted)
+        lcp = suffixes.common_prefixes(data, order, group, 50)
+        assert lcp[0] == 0
+        for a, b, n in zip(order[:-1], order[1:], lcp[1:], strict=True):
+            assert n == next((k for k in range(50) if raw[a + k] != raw[b + k]), 50)
 
 
 # ----- mixing
@@ -370,3 +425,17 @@ def test_pipeline_runs_its_stages(spark):
     left = docs.toPandas()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).toPandas()
     assert set(packed.doc_id) == set(left.doc_id) and packed.length.sum() == packed.groupby("doc_id").doc_tokens.first().sum()
+
+
+def test_odd_sketches_bound_the_difference():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(1, 400))) for _ in range(60)]
+    got = np.concatenate([np.stack([np.array(x, np.int64) for x in b.column(1).to_pylist()]) for b in bagmin._parity(iter([pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts)], names=["c", "text"])]))])
+    bag = [Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else Counter([tuple(w)]) for w in (t.split() for t in texts)]
+    close = 0
+    for i in range(59):
+        d = sum(((bag[i] - bag[i + 1]) + (bag[i + 1] - bag[i])).values())
+        bits = int(np.bitwise_count((got[i] ^ got[i + 1]).view(np.uint64)).sum())
+        assert bits <= d and (d - bits) % 2 == 0
+        close += bits > 0.7 * d
+    assert close > 50
