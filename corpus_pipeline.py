@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textcohort.llm import bagmin, mixing, packing, quality, suffixes
 from textcohort.llm._spark import Scratch
-from textcohort.llm.queries import domain
+from textcohort.llm.queries import PROPORTIONS, domain
 
 #: Nine tenths of the remaining tokens, once each; web and book sources near their own shares.
 MIXTURE = mixing.Mixture(weights={("web",): 0.6, ("books",): 0.4, ("web", "en"): 6, ("books", "en"): 6, ("web", "en", "src0"): 10, ("web", "de", "src0"): 10, ("web", "fr", "src0"): 10, ("web", "es", "src0"): 10}, budget=0.9, max_epochs=1, seed=7)
@@ -34,12 +34,12 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source's share of the token budget."""
-    return mixing.mix(docs, MIXTURE, domain()).drop("__epoch", "__tokens")
+    return mixing.mix(docs, MIXTURE, domain(), extra=False)
 
 
 def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents placed in windows of 1024 tokens."""
-    return packing.pack(docs)
+    """Pieces of documents placed in windows of 1024 tokens, in the target proportions of their sources."""
+    return packing.pack(docs, weights=PROPORTIONS)
 
 
 STAGES = [
