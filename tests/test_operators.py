@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textcohort.functions import constants as C
 from textcohort.functions import text as T
 from textcohort.functions import udfs
 from textcohort.operators import extract as E
@@ -81,13 +82,57 @@ def test_fold_and_repair():
     assert udfs.decode_bytes("é".encode()) == ("utf-8", "é")
 
 
-def test_matches_equal_finditer(spark):
+def test_recode_equals_brute_force(spark):
+    """Every match of every pattern, its context cut out and searched by itself."""
+    import random
     import re
 
-    text = "aab the aa the theaa xx the"
-    df = spark.createDataFrame([(text, p) for p in ("the", "a+", "zz")], "t string, p string")
-    for r in df.select("p", Q.matches(F.col("t"), F.col("p")).alias("m")).collect():
-        assert [(m.start - 1, m.length) for m in r.m] == [(m.start(), len(m[0])) for m in re.finditer(r.p, text)]
+    rng = random.Random(2)
+    pool = ["focus", "foci", "no", "nothing", "not", "ano", "noé", "éfocus", "possible", "impossible", "likely", "extent", "free of", "may represent", "x" * 30, "tumour bed", "tumor bed", "aa", "—", "No\u00a0focus"]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 60)))) for i in range(150)] + [(900, None), (901, ""), (902, "focus no" + "x" * 75 + " focus")]
+    lexicon = [("a", r"\bfocus\b"), ("a", "foc[a-z]*"), ("b", r"\btumou?r bed\b"), ("c", r"\b(?:aa|extent)\b"), ("d", "a+"), ("e", "zz")]
+    phrases = ["focus", "no", "x focus", "aa aa", "zz"]
+    df = spark.createDataFrame(rows, "id int, t string")
+    got = {(r.id, r.concept): (r.present, r.negated, r.uncertain, r.matches) for r in Q.recode_patterns(df, spark.createDataFrame(lexicon, "concept string, pattern string"), "id", "t").collect()}
+    first = {(r.id, r.phrase): r.status for r in Q.recode_phrases(df, spark.createDataFrame([(p,) for p in phrases], "phrase string"), "id", "t").collect()}
+
+    def status(t, a, b):
+        part = t[max(0, a - 80) : b + 80]
+        return 1 if re.search("|".join(C.NEGATION), part) else 2 if re.search("|".join(C.UNCERTAINTY), part) else 0
+
+    want, want_first = {}, {}
+    for i, t in rows:
+        t = " ".join((t or "").lower().split())
+        for c, p in lexicon:
+            for m in re.finditer(p, t):
+                n = want.setdefault((i, c), [0, 0, 0, 0])
+                n[status(t, *m.span())] += 1
+                n[3] += 1
+        for p in phrases:
+            if (k := t.find(p)) >= 0:
+                want_first[i, p] = ["present", "negated", "uncertain"][status(t, k, k + len(p))]
+    assert got == {k: tuple(v) for k, v in want.items()} and first == want_first
+    assert {s for s in first.values()} == {"present", "negated", "uncertain"}
+
+
+@pytest.mark.parametrize("most", [1, 2, 100])
+def test_phrases_in_several_passes(spark, monkeypatch, most):
+    monkeypatch.setattr(Q, "MAX_PHRASES", most)
+    df = spark.createDataFrame([(1, "abcab"), (2, "bc"), (3, None), (3, "")], "id int, t string")
+    phrases = spark.createDataFrame([(p,) for p in ("ab", "bc", "c", "b", "", "b", None)], "phrase string")
+    got = sorted((r.id, r.phrase) for r in Q.find_phrases(df, phrases, "id", "t").collect())
+    assert got == [(1, "ab"), (1, "b"), (1, "bc"), (1, "c"), (2, "b"), (2, "bc"), (2, "c")]
+
+
+def test_quotes_by_straightened_text(spark):
+    docs = spark.createDataFrame([(1, "He said “It’s  fine”\nand went"), (2, "it's fine"), (3, None)], "id int, t string")
+    quotes = spark.createDataFrame([(7, "\"it's fine\""), (8, "IT’S FINE"), (9, " "), (10, None)], "q int, t string")
+    assert sorted(map(tuple, Q.quoted(docs, quotes, "id", "t", "q", "t").collect())) == [(1, 7), (1, 8), (2, 8)]
+
+
+def test_needed_strings_are_in_every_match():
+    for p, want in ((r"\bextent\b", "extent"), (r"\btumou?r bed\b", "r bed"), (r"\bnon[- ]mass\b", "mass"), ("a|bc", ""), (r"\d+", ""), ("tion[a-z]*", "tion"), ("ab{2,3}c", "a"), ("(?:xy)+z", "z"), (r"a\.b*", "a")):
+        assert Q.needed(p) == want
 
 
 def test_recode_context(spark):

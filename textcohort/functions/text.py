@@ -87,15 +87,23 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 
 def evidence_tokens(c: Column) -> Column:
-    stop = F.array(*(F.lit(w) for w in C.STOPWORDS))
-    return F.filter(F.split(normalize_ascii(c), " "), lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w))
+    return F.filter(F.split(normalize_ascii(c), " "), lambda w: (F.length(w) >= 3) & ~w.isin(C.STOPWORDS))
+
+
+def bound(c: Column, of) -> Column:
+    """of(c), where c is worked out once however often `of` names it."""
+    return F.element_at(F.transform(F.array(c), of), 1)
 
 
 def uni_and_bigrams(tokens: Column) -> Column:
     """Distinct tokens and neighbouring pairs."""
-    less = F.greatest(F.size(tokens) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(tokens, F.lit(1), less), F.slice(tokens, F.lit(2), less), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.concat(tokens, pairs))
+    return bound(tokens, lambda w: F.array_distinct(F.concat(w, neighbours(w))))
+
+
+def neighbours(w: Column) -> Column:
+    """Pairs of neighbouring tokens, joined by a blank."""
+    less = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, F.lit(1), less), F.slice(w, F.lit(2), less), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def flags(c: Column, patterns: dict[str, str]) -> dict[str, Column]:

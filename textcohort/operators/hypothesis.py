@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .metrics import safe_corr
-from .ranks import average_rank
+from .ranks import average_rank, quantiles, with_group
 
 
 def _log_choose(n: float, k: float) -> float:
@@ -93,23 +93,22 @@ def p_value(kind: str, *columns: Column) -> Column:
 
 def paired(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Paired differences: mean, median, dz, correlations, t, sign and Wilcoxon tests per group."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__d", F.col(y) - F.col(x))
-    d = average_rank(average_rank(d, by, x, "__rx"), by, y, "__ry")
-    base = d.groupBy(*by).agg(
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y, (F.col(y) - F.col(x)).alias("__d"))
+    base = average_rank(average_rank(d, by, x, "__rx"), by, y, "__ry").groupBy(*by).agg(
         F.count("*").alias("n"),
         F.avg("__d").alias("mean_diff"),
-        F.median("__d").alias("median_diff"),
         F.try_divide(F.avg("__d"), F.stddev_samp("__d")).alias("dz"),
         safe_corr(x, y).alias("pearson_r"),
         safe_corr("__rx", "__ry").alias("spearman_rho"),
         F.count_if(F.col("__d") > 0).alias("n_up"),
         F.count_if(F.col("__d") < 0).alias("n_down"),
     )
+    base = with_group(base, quantiles(d, by, "__d", {"median_diff": 0.5}), by)
     moved = average_rank(d.where("__d <> 0").withColumn("__a", F.abs("__d")), by, "__a", "__ra")
     ties = moved.groupBy(*by, "__a").agg(F.count("*").alias("k"), F.sum(F.when(F.col("__d") > 0, F.col("__ra")).otherwise(0.0)).alias("w"))
     w = ties.groupBy(*by).agg(F.sum("w").alias("w_plus"), F.sum("k").alias("m"), F.sum(F.col("k") ** 3 - F.col("k")).alias("tie"))
     var = F.col("m") * (F.col("m") + 1) * (2 * F.col("m") + 1) / 24 - F.col("tie") / 48
-    out = base.join(w, by, "left").withColumns({"t": F.col("dz") * F.sqrt("n"), "z_wilcoxon": F.try_divide(F.col("w_plus") - F.col("m") * (F.col("m") + 1) / 4, F.sqrt(var))})
+    out = with_group(base, w, by).withColumns({"t": F.col("dz") * F.sqrt("n"), "z_wilcoxon": F.try_divide(F.col("w_plus") - F.col("m") * (F.col("m") + 1) / 4, F.sqrt(var))})
     out = out.withColumns({"p_t": p_value("t", F.col("t"), (F.col("n") - 1).cast("double")), "p_sign": p_value("binomial", F.col("n_up"), F.col("n_up") + F.col("n_down")), "p_wilcoxon": p_value("normal", F.col("z_wilcoxon"))})
     return out.drop("tie", "m")
 
@@ -122,18 +121,21 @@ def mcnemar(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 def two_groups(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
     """Group 1 against group 0: mean and median difference, Welch t, Mann-Whitney U and Cliff's delta from ranks."""
-    d = average_rank(df.where(F.col(value).isNotNull() & F.col(group).isin(0, 1)), by, value, "__r")
+    plain = df.where(F.col(value).isNotNull() & F.col(group).isin(0, 1)).select(*by, group, value)
+    d = average_rank(plain, by, value, "__r")
     one, zero = F.col(group) == 1, F.col(group) == 0
     of = lambda which, c: F.when(which, F.col(c))
     got = d.groupBy(*by).agg(
         F.count_if(one).alias("n1"),
         F.count_if(zero).alias("n0"),
         (F.avg(of(one, value)) - F.avg(of(zero, value))).alias("mean_diff"),
-        (F.median(of(one, value)) - F.median(of(zero, value))).alias("median_diff"),
         F.var_samp(of(one, value)).alias("v1"),
         F.var_samp(of(zero, value)).alias("v0"),
         F.sum(of(one, "__r")).alias("r1"),
     )
+    middle = quantiles(plain, [*by, group], value, {"__m": 0.5})
+    middle = middle.groupBy(*by).agg((F.max(of(one, "__m")) - F.max(of(zero, "__m"))).alias("median_diff"))
+    got = with_group(got, middle, by)
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
     e1, e0 = F.col("v1") / F.col("n1"), F.col("v0") / F.col("n0")
     return got.withColumns(

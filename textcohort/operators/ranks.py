@@ -6,16 +6,75 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def bucket(value: str | Column) -> Column:
+    """A number that grows with a value, of 256 steps between powers of two: neighbours in order, in many small groups.
+
+    Nulls come first and NaN last, as in Spark's order.
+    """
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    size = F.when((v != 0) & (F.abs(v) < float("inf")), F.abs(v)).otherwise(1.0)
+    power = F.floor(F.log2(size))
+    step = (power + 1100) * 1024 + F.floor(size / F.pow(F.lit(2.0), power) * 256)
+    far = F.lit(1 << 40)
+    finite = F.when(v == 0, F.lit(0)).when(F.abs(v) == float("inf"), F.signum(v).cast("long") * (far - 1)).when(v > 0, step).otherwise(-step)
+    return F.when(v.isNull(), -far).when(F.isnan(v), far).otherwise(finite).cast("long")
+
+
+def with_group(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with the other columns of their group's row, null where there is none; a null in `by` is a value like others."""
+    if not by:
+        return rows.crossJoin(F.broadcast(groups))  # one row
+    named = groups.withColumnsRenamed({k: f"__{k}" for k in by})
+    return rows.join(named, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by], "left").drop(*(f"__{k}" for k in by))
+
+
+def running(df: DataFrame, by: list[str], order: list[Column], bucket: Column, sums: dict[str, Column], descending: bool = False) -> DataFrame:
+    """Rows with running sums within groups, the row itself included.
+
+    bucket grows with the order (falls, if descending); a task sums a bucket at a time, and the
+    buckets' totals are summed before, so no group has to be sorted in one task.
+    """
+    d = df.withColumns({"__b": bucket, **{f"__v_{k}": c for k, c in sums.items()}})
+    key = [*by, "__b"]
+    totals = d.groupBy(*key).agg(*(F.sum(f"__v_{k}").alias(k) for k in sums))
+    before = Window.partitionBy(*by).orderBy(F.desc("__b") if descending else F.asc("__b"))
+    base = totals.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(key)), *((F.sum(k).over(before) - F.col(k)).alias(f"__s_{k}") for k in sums))
+    inner = d.withColumns({f"__r_{k}": F.sum(f"__v_{k}").over(Window.partitionBy(*key).orderBy(*order)) for k in sums})
+    joined = inner.join(base, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)])
+    return joined.select(*(F.col(f"`{c}`") for c in df.columns), *((F.col(f"__r_{k}") + F.col(f"__s_{k}")).alias(k) for k in sums))
+
+
+def placed(df: DataFrame, by: list[str], order: list[Column], bucket: Column, out: str) -> DataFrame:
+    """Rows with their place, from 1, in a total order within a group."""
+    return running(df, by, order, bucket, {out: F.lit(1).cast("long")})
+
+
 def average_rank(df: DataFrame, by: list[str], value: str, out: str = "avg_rank") -> DataFrame:
     """Rows with the average rank of their value within a group; only distinct values are sorted."""
     key = [*by, value]
     n = df.groupBy(*key).agg(F.count("*").alias("__n"))
-    upto = F.sum("__n").over(Window.partitionBy(*by).orderBy(value))
-    ranks = n.withColumn(out, upto - (F.col("__n") - 1) / 2).select(*(F.col(k).alias(f"__{k}") for k in key), out)
+    upto = running(n, by, [F.col(value)], bucket(value), {"__upto": F.col("__n")})
+    ranks = upto.withColumn(out, F.col("__upto") - (F.col("__n") - 1) / 2).select(*(F.col(k).alias(f"__{k}") for k in key), out)
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
     return df.join(ranks, on).drop(*(f"__{k}" for k in key))
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """by and exact quantiles with linear interpolation, from the counts of distinct values."""
+    n = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    upto = running(n, by, [F.col(value)], bucket(value), {"__upto": F.col("__n")})
+    total = n.groupBy(*by).agg(F.sum("__n").alias("__total"))
+    d = with_group(upto, total, by)
+    cols = []
+    for name, q in at.items():
+        place = F.lit(q) * (F.col("__total") - 1)
+        low, high = F.floor(place), F.ceil(place)
+        a, b = F.min(F.when(F.col("__upto") > low, F.col(value))), F.min(F.when(F.col("__upto") > high, F.col(value)))
+        part = F.max(place - low)
+        cols.append(F.when(a == b, a.cast("double")).otherwise(a + part * (b - a)).alias(name))
+    return d.groupBy(*by).agg(*cols)
+
+
 def best_row(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group in a total order."""
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__rn = 1").drop("__rn")
@@ -29,8 +88,9 @@ def top_rows(df: DataFrame, by: list[str], order: list[Column], k: int, out: str
 def threshold_table(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """Per group and distinct score, from high to low: positives, negatives, and both so far."""
     d = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.sum(label).cast("long").alias("pos"), F.sum(1 - F.col(label)).cast("long").alias("neg"))
-    down = Window.partitionBy(*by).orderBy(F.desc(score))
-    return d.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "n_pos": F.sum("pos").over(Window.partitionBy(*by)), "n_neg": F.sum("neg").over(Window.partitionBy(*by))})
+    down = running(d, by, [F.desc(score)], bucket(score), {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True)
+    total = d.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    return with_group(down, total, by)
 
 
 def benjamini_hochberg(df: DataFrame, by: list[str], p: str, out: str = "q") -> DataFrame:

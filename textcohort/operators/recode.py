@@ -5,13 +5,22 @@ Everything stays long: one row per case and feature.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+from collections.abc import Iterator
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
 
 REACH = 80
+#: Phrases that one automaton holds; a larger lexicon is searched in several passes.
+MAX_PHRASES = 200_000
+MAX_PATTERNS = 10_000
 
 
 def ontology(spark: SparkSession) -> DataFrame:
@@ -20,52 +29,141 @@ def ontology(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "concept string, category string, place int, pattern string")
 
 
-def status(context: Column) -> Column:
-    """negated beats uncertain beats present."""
-    return F.when(T.negated(context), "negated").when(T.uncertain(context), "uncertain").otherwise("present")
+class Cues:
+    """Whether cues of negation or uncertainty lie in parts of a text; each part is read as if it stood alone."""
 
+    def __init__(self, cues: list[str]):
+        self.regex = re.compile("|".join(f"(?:{c})" for c in cues))
+        self.words = tuple(c.replace(r"\b", "") for c in cues)
 
-def around(text: Column, start: Column, length: Column) -> Column:
-    """REACH characters on both sides of a 1-based place."""
-    first = F.greatest(start - REACH, F.lit(1))
-    return text.substr(first, start + length + REACH - first)
+    def within(self, text: str, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        found = [m.span() for m in self.regex.finditer(text)]
+        if found:
+            at = np.array([*found, (len(text) + 1, len(text) + 1)])
+            out = at[np.searchsorted(at[:, 0], start), 1] <= stop
+        else:
+            out = np.zeros(len(start), bool)
+        # a cut through a word can leave a cue at an edge
+        for k in np.flatnonzero(~out).tolist():
+            a, b = int(start[k]), int(stop[k])
+            if text.startswith(self.words, a, b) or text.endswith(self.words, a, b):
+                out[k] = self.regex.search(text[a:b]) is not None
+        return out
 
 
-def phrase_status(text: Column, phrase: Column) -> Column:
-    """Status of a phrase's first place in a normalised text; null where it is absent."""
-    at = F.locate(phrase, text) if isinstance(phrase, str) else F.position(phrase, text)
-    return F.when(at > 0, status(around(text, at, F.length(phrase) if not isinstance(phrase, str) else F.lit(len(phrase)))))
+_NEGATED, _UNCERTAIN = Cues(C.NEGATION), Cues(C.UNCERTAINTY)
 
 
-def matches(text: Column, pattern: Column) -> Column:
-    """All matches of a pattern: array of (start, length), by the lengths of what lies between."""
-    between = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    step = lambda acc, i: F.struct(
-        (acc["at"] + F.length(F.element_at(between, i)) + F.length(F.element_at(found, i))).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(F.element_at(between, i))).alias("start"), F.length(F.element_at(found, i)).alias("length")))).alias("out"),
-    )
-    zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("out"))
-    walk = F.aggregate(F.sequence(F.lit(1), F.size(found)), zero, step)["out"]
-    return F.when(F.size(found) > 0, walk).otherwise(F.array().cast("array<struct<start:int,length:int>>"))
+def statuses(text: str, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """0 present, 1 negated, 2 uncertain for places of a normalised text, by REACH characters on both sides; negated beats uncertain."""
+    low, high = np.maximum(start - REACH, 0), np.minimum(stop + REACH, len(text))
+    return np.where(_NEGATED.within(text, low, high), 1, np.where(_UNCERTAIN.within(text, low, high), 2, 0))
+
+
+def needed(pattern: str) -> str:
+    """A string that every match of a pattern has, or an empty one: the longest run of plain characters outside groups."""
+    if "|" in pattern:
+        return ""
+    plain = re.sub(r"(\\[A-Za-z]|\[[^\]]*\]|\([^)]*\))(\{[^}]*\}|[*+?])*|.(\{[^}]*\}|[*+?])+", "\0", pattern)
+    return max(re.split(r"[\0.^$\\]", plain), key=len)
 
 
 def recode_patterns(cases: DataFrame, lexicon: DataFrame, key: str, text: str) -> DataFrame:
     """key, concept, present, negated, uncertain, matches: every match of every pattern, in its context.
 
-    The lexicon (concept, pattern) is a fixed table and is broadcast; a pattern that a text
-    doesn't have makes no row.
+    The lexicon (concept, pattern) is a fixed table of at most MAX_PATTERNS rows.  Each text is
+    read once, in the task that has it, and gives a row for each concept it has; nothing is
+    shuffled.  Patterns are regular expressions over the normalised text.
     """
-    hit = cases.select(key, T.normalize_text(F.col(text)).alias("__t")).crossJoin(F.broadcast(lexicon)).where(F.expr("__t rlike pattern"))
-    each = hit.select(key, "concept", "__t", F.explode(matches(F.col("__t"), F.col("pattern"))).alias("m"))
-    s = status(around(F.col("__t"), F.col("m.start"), F.col("m.length")))
-    return each.select(key, "concept", s.alias("s")).groupBy(key, "concept").agg(*(F.count_if(F.col("s") == k).alias(k) for k in ("present", "negated", "uncertain")), F.count("*").alias("matches"))
+    rows = lexicon.select("concept", "pattern").limit(MAX_PATTERNS + 1).collect()
+    if len(rows) > MAX_PATTERNS:
+        raise ValueError(f"a lexicon has at most {MAX_PATTERNS} patterns")
+    patterns = [(r.concept, r.pattern, needed(r.pattern)) for r in rows]
+    kind = cases.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = [(c, re.compile(p), n) for c, p, n in patterns]
+        for batch in batches:
+            row, concept, count = [], [], []
+            for r, t in enumerate(batch.column(1).to_pylist()):
+                found: dict[str, list[tuple[int, int]]] = {}
+                for c, p, n in compiled:
+                    if n in t and (spans := [m.span() for m in p.finditer(t)]):
+                        found.setdefault(c, []).extend(spans)
+                if not found:
+                    continue
+                at = np.array([x for spans in found.values() for x in spans])
+                status = statuses(t, at[:, 0], at[:, 1])
+                done = 0
+                for c, spans in found.items():
+                    row.append(r)
+                    concept.append(c)
+                    count.append(np.bincount(status[done : done + len(spans)], minlength=3))
+                    done += len(spans)
+            n = np.array(count, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(concept, pa.string()), *(pa.array(n[:, k]) for k in range(3)), pa.array(n.sum(1))], names=["key", "concept", "present", "negated", "uncertain", "matches"])
+
+    plain = cases.select(F.col(key).alias("key"), T.normalize_text(F.col(text)).alias("text"))
+    found = plain.mapInArrow(run, f"key {kind}, concept string, present long, negated long, uncertain long, matches long")
+    return found.withColumnRenamed("key", key)
+
+
+def _first_places(cases: DataFrame, phrases: list[str], kind: str, with_status: bool) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = ahocorasick.Automaton()
+        for p in phrases:
+            search.add_word(p, p)
+        search.make_automaton()
+        for batch in batches:
+            row, phrase, state = [], [], []
+            for r, t in enumerate(batch.column(1).to_pylist()):
+                first: dict[str, int] = {}
+                for last, p in search.iter(t):
+                    first.setdefault(p, last + 1)
+                if not first:
+                    continue
+                row += [r] * len(first)
+                phrase += first
+                if with_status:
+                    stop = np.array(list(first.values()))
+                    state += statuses(t, stop - np.array([len(p) for p in first]), stop).tolist()
+            out = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(phrase, pa.string())]
+            names = ["present", "negated", "uncertain"]
+            yield pa.RecordBatch.from_arrays(out + [pa.array([names[s] for s in state], pa.string())] * with_status, names=["key", "phrase"] + ["status"] * with_status)
+
+    return cases.mapInArrow(run, f"key {kind}, phrase string" + ", status string" * with_status)
+
+
+def find_phrases(cases: DataFrame, phrases: DataFrame, key: str, text: str, with_status: bool = False) -> DataFrame:
+    """key, phrase (and the status of its first place): the phrases that a text has, as they stand in it.
+
+    Each pass searches a text for up to MAX_PHRASES phrases at once by an automaton, so the cost
+    doesn't grow with texts times phrases, and what a task holds is bounded.
+    """
+    n = phrases.count()
+    passes = -(-n // MAX_PHRASES)
+    kind = cases.schema[key].dataType.simpleString()
+    plain = cases.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    out = None
+    for k in range(max(1, passes)):
+        some = phrases if passes <= 1 else phrases.where(F.pmod(F.xxhash64("phrase"), F.lit(passes)) == k)
+        own = [r.phrase for r in some.where("phrase <> ''").select("phrase").distinct().collect()]
+        part = _first_places(plain, own, kind, with_status) if own else plain.sparkSession.createDataFrame([], f"key {kind}, phrase string" + ", status string" * with_status)
+        out = part if out is None else out.unionByName(part)
+    return out.withColumnRenamed("key", key)
 
 
 def recode_phrases(cases: DataFrame, phrases: DataFrame, key: str, text: str) -> DataFrame:
-    """key, phrase, status of the first place of each phrase that a text has."""
-    plain = cases.select(key, T.normalize_text(F.col(text)).alias("__t")).crossJoin(F.broadcast(phrases)).where(F.contains("__t", "phrase"))
-    return plain.select(key, "phrase", phrase_status(F.col("__t"), F.col("phrase")).alias("status"))
+    """key, phrase, status of the first place of each phrase that a normalised text has."""
+    plain = cases.select(key, T.normalize_text(F.col(text)).alias("__t"))
+    return find_phrases(plain, phrases, key, "__t", True)
+
+
+def quoted(cases: DataFrame, quotes: DataFrame, key: str, text: str, name: str, quote: str) -> DataFrame:
+    """key, name of the quotes that a text has, both with straight quotes and single blanks and lower-cased; a blank quote is in none."""
+    plain = cases.select(key, T.straighten(F.col(text)).alias("__t"))
+    told = quotes.select(name, T.straighten(F.col(quote)).alias("phrase")).where("phrase <> ''")
+    return find_phrases(plain, told, key, "__t").join(told, "phrase").select(key, name)
 
 
 def density(counts: DataFrame, cases: DataFrame, key: str, text: str) -> DataFrame:

@@ -7,24 +7,32 @@ and shares hold in expectation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import placed
+
 
 def uniform(case: Column, *salt: Column) -> Column:
     """A number in [0, 1) from a hash."""
     return F.shiftrightunsigned(F.xxhash64(case, *salt), 11).cast("double") / float(1 << 53)
 
 
+def _bucket(u: Column) -> Column:
+    """Neighbours in the order of a uniform number; a task ranks a bucket at a time."""
+    return F.floor(u * 4096)
+
+
 def monte_carlo(cases: DataFrame, case: str, label: str, repeats: int, test_share: float, seed: int, exact: bool = True) -> DataFrame:
     """case, label, repeat, role: a stratified share of test cases in each repeat."""
     each = cases.select(case, label, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(repeats - 1).cast("long"))).alias("repeat"))
     u = uniform(F.col(case), F.col("repeat"), F.lit(seed))
     if not exact:
         return each.withColumn("role", F.when(u < test_share, "test").otherwise("train"))
-    w = Window.partitionBy("repeat", label)
-    place = F.row_number().over(w.orderBy(u, case))
-    return each.withColumn("role", F.when(place <= F.round(test_share * F.count("*").over(w)), "test").otherwise("train"))
+    size = cases.groupBy(label).agg(F.count("*").alias("__size")).withColumnRenamed(label, "__label")
+    each = placed(each.withColumn("__u", u), ["repeat", label], [F.col("__u"), F.col(case)], _bucket(F.col("__u")), "__place").drop("__u")
+    each = each.join(size, F.col(label).eqNullSafe(F.col("__label")))
+    return each.withColumn("role", F.when(F.col("__place") <= F.round(test_share * F.col("__size")), "test").otherwise("train")).drop("__label", "__size", "__place")
 
 
 def k_fold(cases: DataFrame, case: str, label: str, folds: int, seed: int, exact: bool = True) -> DataFrame:
@@ -32,8 +40,13 @@ def k_fold(cases: DataFrame, case: str, label: str, folds: int, seed: int, exact
     u = uniform(F.col(case), F.lit(seed))
     if not exact:
         return cases.select(case, label, F.floor(u * folds).cast("long").alias("fold"))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(u, case))
-    return cases.select(case, label, F.pmod(place - 1, F.lit(folds)).cast("long").alias("fold"))
+    each = placed(cases.select(case, label, u.alias("__u")), [label], [F.col("__u"), F.col(case)], _bucket(F.col("__u")), "__place")
+    return each.select(case, label, F.pmod(F.col("__place") - 1, F.lit(folds)).cast("long").alias("fold"))
+
+
+def rebuilt(rows: DataFrame, manifest: DataFrame, key: list[str]) -> DataFrame:
+    """Rows with the roles that a saved manifest gives their cases, found by name and never by position; a case in two roles comes in both."""
+    return rows.join(manifest.select(*key, "role"), key)
 
 
 def resamples(cases: DataFrame, case: str, repeats: int, share: float, seed: int) -> DataFrame:
@@ -77,10 +90,20 @@ def intervals(stats: DataFrame, by: list[str], values: list[str], level: float =
     return stats.groupBy(*by).agg(*cols)
 
 
+def permuted(rows: DataFrame, by: list[str], key: str, value: str, seed: Column, out: str) -> DataFrame:
+    """Rows with the value of another row of the group: that at the same place in a second hash order.
+
+    seed may be a column that is constant in a group, so that each group has its own order.
+    """
+    d = rows.withColumns({"__u": uniform(F.col(key), seed, F.lit(1)), "__w": uniform(F.col(key), seed, F.lit(2))})
+    first = placed(d, by, [F.col("__u"), F.col(key)], _bucket(F.col("__u")), "__i")
+    second = placed(d.select(*by, key, "__w", F.col(value).alias(out)), by, [F.col("__w"), F.col(key)], _bucket(F.col("__w")), "__j")
+    second = second.select(*(F.col(k).alias(f"__k_{k}") for k in by), "__j", out)
+    on = [F.col("__i") == F.col("__j"), *(F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in by)]
+    return first.join(second, on).select(*(F.col(f"`{c}`") for c in rows.columns), out)
+
+
 def shuffled(rows: DataFrame, by: list[str], value: str, seed: int, out: str) -> DataFrame:
-    """Rows with another row's value within the group: a seeded cyclic shift of a hash order."""
-    w = Window.partitionBy(*by)
-    u = uniform(F.col("__id"), F.lit(seed))
-    placed = rows.withColumn("__id", F.xxhash64(*rows.columns)).withColumn("__k", F.row_number().over(w.orderBy("__id"))).withColumn("__j", F.row_number().over(w.orderBy(u, "__id")))
-    values = placed.select(*by, F.col("__j").alias("__k"), F.col(value).alias(out))
-    return placed.join(values, [*by, "__k"]).drop("__id", "__k", "__j")
+    """Rows with another row's value within the group, in a seeded order."""
+    own = rows.withColumn("__id", F.xxhash64(*rows.columns))
+    return permuted(own, by, "__id", value, F.lit(seed), out).drop("__id")

@@ -10,23 +10,21 @@ from ..operators import hypothesis as H
 from ..operators import metrics as M
 from ..operators import recode as Q
 from ..operators import split as X
-from .registry import query
+from ..sources import files as S
+from ..sources.scratch import new_path
+from .registry import NORM, SPACE, query, wordy
 
-EN = "lang = 'en'"
-NORM = r"trim(regexp_replace(lower(text), '[\s\x1c-\x1f]+', ' ', 'g'))"
-#: A small lexicon for invented prose: concept and pattern.
-LEXICON = [("article", "the"), ("article", "an"), ("linking", "and"), ("linking", "with"), ("motion", "from"), ("motion", "into"), ("ending", "tion[a-z]*")]
+#: A small lexicon for invented prose beside the shared ontology: concept and pattern.
+PROSE = [("article", "the"), ("article", "an"), ("linking", "and"), ("linking", "with"), ("motion", "from"), ("motion", "into"), ("ending", "tion[a-z]*"), ("ending", "ment[a-z]*"), ("short", "\\b(?:de|la|le|un)\\b")]
+LEXICON = PROSE + [(k, p) for k, (_, ps) in C.ONTOLOGY.items() for p in ps]
 VALUES = ", ".join(f"('{c}', '{p}')" for c, p in LEXICON)
 neg, unc = (T.any_of(p).replace("'", "''") for p in (C.NEGATION, C.UNCERTAINTY))
 r = lambda c, k=6: F.round(c, k).alias(c)
 
 
 def _lexicon(t):
-    return t.spark.createDataFrame(LEXICON, "concept string, pattern string")
-
-
-def _docs(t):
-    return t.documents.where(EN)
+    prose = t.spark.createDataFrame(PROSE, "concept string, pattern string")
+    return prose.unionByName(Q.ontology(t.spark).select("concept", "pattern"))
 
 
 def _status(context: str) -> str:
@@ -34,24 +32,24 @@ def _status(context: str) -> str:
 
 
 CTX = "substr(t, greatest(p - 80, 1), p + length(phrase) + 80 - greatest(p - 80, 1))"
-PHRASES = ["the", "with", "this", "not of", "is that", "zzz"]
+PHRASES = ["the", "with", "this", "not of", "is that", "de la", "zzz"]
 PHRASE_VALUES = ", ".join(f"('{p}')" for p in PHRASES)
 
 
-@query("Q01", f"SELECT doc_id, phrase, {_status(CTX)} AS status FROM (SELECT doc_id, phrase, t, strpos(t, phrase) AS p FROM (SELECT doc_id, {NORM} AS t FROM documents WHERE {EN}), (VALUES {PHRASE_VALUES}) v(phrase)) WHERE p > 0")
+@query("Q01", f"SELECT doc_id, phrase, {_status(CTX)} AS status FROM (SELECT doc_id, phrase, t, strpos(t, phrase) AS p FROM (SELECT doc_id, {wordy(NORM)} AS t FROM documents), (VALUES {PHRASE_VALUES}) v(phrase)) WHERE p > 0")
 def q01(t):
     phrases = t.spark.createDataFrame([(p,) for p in PHRASES], "phrase string")
-    return Q.recode_phrases(_docs(t), phrases, "doc_id", "text")
+    return Q.recode_phrases(t.documents, phrases, "doc_id", "text")
 
 
-RECODE = f"""n AS (SELECT doc_id, {NORM} AS t FROM documents WHERE {EN}), h AS (SELECT doc_id, concept, t, regexp_split_to_array(t, pattern) AS b, regexp_extract_all(t, pattern) AS f FROM n, (VALUES {VALUES}) v(concept, pattern) WHERE regexp_matches(t, pattern)),
+RECODE = f"""n AS (SELECT doc_id, {wordy(NORM)} AS t FROM documents), h AS (SELECT doc_id, concept, t, regexp_split_to_array(t, pattern) AS b, regexp_extract_all(t, pattern) AS f FROM n, (VALUES {VALUES}) v(concept, pattern) WHERE regexp_matches(t, pattern)),
  e AS (SELECT doc_id, concept, t, length(f[i]) AS l, list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) + 1 AS p FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM h)),
  k AS (SELECT doc_id, concept, {_status('substr(t, CAST(greatest(p - 80, 1) AS BIGINT), CAST(p + l + 80 - greatest(p - 80, 1) AS BIGINT))')} AS s FROM e),
  rc AS (SELECT doc_id, concept, count(*) FILTER (s = 'present') AS present, count(*) FILTER (s = 'negated') AS negated, count(*) FILTER (s = 'uncertain') AS uncertain, count(*) AS matches FROM k GROUP BY 1, 2)"""
 
 
 def _recoded(t):
-    return Q.recode_patterns(_docs(t), _lexicon(t), "doc_id", "text")
+    return Q.recode_patterns(t.documents, _lexicon(t), "doc_id", "text")
 
 
 @query("Q02", f"WITH {RECODE} SELECT * FROM rc")
@@ -67,9 +65,9 @@ def q03(t):
     return groups.unionByName(phrases)
 
 
-@query("Q04", f"WITH {RECODE} SELECT doc_id, n_words, round(coalesce(present / nullif(n_words, 0), 0), 6) AS present_density, round(coalesce(negated / nullif(n_words, 0), 0), 6) AS negated_density FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS n_words FROM documents WHERE {EN}) LEFT JOIN (SELECT doc_id, sum(present) AS present, sum(negated) AS negated FROM rc GROUP BY 1) USING (doc_id)".replace("coalesce(present / ", "coalesce(coalesce(present, 0) / "))
+@query("Q04", f"WITH {RECODE} SELECT doc_id, n_words, round(coalesce(present / nullif(n_words, 0), 0), 6) AS present_density, round(coalesce(negated / nullif(n_words, 0), 0), 6) AS negated_density FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS n_words FROM documents) LEFT JOIN (SELECT doc_id, sum(present) AS present, sum(negated) AS negated FROM rc GROUP BY 1) USING (doc_id)".replace("coalesce(present / ", "coalesce(coalesce(present, 0) / "))
 def q04(t):
-    return Q.density(_recoded(t), _docs(t), "doc_id", "text").select("doc_id", "n_words", r("present_density"), r("negated_density"))
+    return Q.density(_recoded(t), t.documents, "doc_id", "text").select("doc_id", "n_words", r("present_density"), r("negated_density"))
 
 
 @query("Q05", f"WITH {RECODE} SELECT source, concept, CAST(sum(present) AS BIGINT) AS present, count(*) AS n_docs FROM rc JOIN documents USING (doc_id) GROUP BY 1, 2")
@@ -83,7 +81,7 @@ Q06_SQL = f"""WITH {RECODE}, m AS (SELECT doc_id, concept, x.r FROM rc, range(5)
 
 def _members(t):
     which = F.filter(F.sequence(F.lit(0), F.lit(4)), lambda k: F.pmod(F.col("doc_id") * 31 + k * 17, F.lit(10)) < 5)
-    return _docs(t).select("doc_id", F.explode(which).alias("resample"))
+    return t.documents.select("doc_id", F.explode(which).alias("resample"))
 
 
 @query("Q06", Q06_SQL)
@@ -151,12 +149,12 @@ def q10(t):
 def _records(t):
     quote = F.element_at(F.split("text", r"\.\s*|\n"), 1)
     item = F.struct(quote.alias("quote"), F.col("source").alias("concept"), F.lit("").alias("normalized_phrase"), F.lit("multiplicity; x").alias("candidate_concepts"), F.when(F.col("doc_id") % 3 == 0, "negated").when(F.col("doc_id") % 3 == 1, "affirmed").otherwise("?").alias("polarity"), F.when(F.col("doc_id") % 5 == 0, "uncertain").otherwise("").alias("certainty"), F.lit("left").alias("laterality"), F.lit("findings").alias("section"), F.lit(0.5).alias("mapping_confidence"))
-    return _docs(t).select("doc_id", F.array(item).cast(f"array<{Q.PHRASE_ITEM}>").alias("seed"), F.when(F.col("doc_id") % 7 == 0, F.array(item)).cast(f"array<{Q.PHRASE_ITEM}>").alias("denovo"), F.when(F.col("doc_id") % 11 == 0, 1).otherwise(0).alias("missing"))
+    return t.documents.select("doc_id", F.array(item).cast(f"array<{Q.PHRASE_ITEM}>").alias("seed"), F.when(F.col("doc_id") % 7 == 0, F.array(item)).cast(f"array<{Q.PHRASE_ITEM}>").alias("denovo"), F.when(F.col("doc_id") % 11 == 0, 1).otherwise(0).alias("missing"))
 
 
-R01_SQL = f"""WITH q AS (SELECT doc_id, trim(regexp_replace(regexp_split_to_array(text, '\\.\\s*|\\n')[1], '\\s+', ' ', 'g')) AS quote FROM documents WHERE {EN} AND doc_id % 11 <> 0),
+R01_SQL = f"""WITH q AS (SELECT doc_id, trim(regexp_replace(regexp_split_to_array(text, '\\.\\s*|\\n')[1], '{SPACE}', ' ', 'g')) AS quote FROM documents WHERE doc_id % 11 <> 0),
  s AS (SELECT *, 'seed' AS source FROM q UNION ALL SELECT *, 'denovo' FROM q WHERE doc_id % 7 = 0),
- p AS (SELECT *, CASE WHEN doc_id % 3 <> 0 AND regexp_matches(lower(quote), '{neg}') THEN 'negated' WHEN doc_id % 3 = 0 THEN 'negated' ELSE 'affirmed' END AS p0, CASE WHEN doc_id % 5 = 0 OR regexp_matches(lower(quote), '{unc}') THEN 'uncertain' ELSE 'certain' END AS certainty FROM s WHERE quote <> '')
+ p AS (SELECT *, CASE WHEN doc_id % 3 <> 0 AND regexp_matches({wordy('lower(quote)')}, '{neg}') THEN 'negated' WHEN doc_id % 3 = 0 THEN 'negated' ELSE 'affirmed' END AS p0, CASE WHEN doc_id % 5 = 0 OR regexp_matches({wordy('lower(quote)')}, '{unc}') THEN 'uncertain' ELSE 'certain' END AS certainty FROM s WHERE quote <> '')
  SELECT doc_id, source, quote, CASE WHEN p0 = 'affirmed' AND certainty = 'uncertain' THEN 'uncertain' ELSE p0 END AS polarity, certainty FROM p"""
 
 
@@ -202,11 +200,11 @@ def q17(t):
     return left.groupBy("mode").agg(F.count("*").alias("calls"), F.sum(T.tokens_by_chars(F.col("text")) + 9).alias("tokens"))
 
 
-@query("Q18", f"WITH {RECODE} SELECT toxic, round(avg(coalesce(present, 0)), 6) AS mean_present, count(*) AS n FROM documents d JOIN labels USING (doc_id) LEFT JOIN (SELECT doc_id, sum(present) AS present FROM rc GROUP BY 1) USING (doc_id) WHERE {EN} GROUP BY 1")
+@query("Q18", f"WITH {RECODE} SELECT toxic, round(avg(coalesce(present, 0)), 6) AS mean_present, count(*) AS n FROM documents d JOIN labels USING (doc_id) LEFT JOIN (SELECT doc_id, sum(present) AS present FROM rc GROUP BY 1) USING (doc_id) GROUP BY 1")
 def q18(t):
     """The flagship composition: recode, join to labels, audit by label."""
     present = _recoded(t).groupBy("doc_id").agg(F.sum("present").alias("present"))
-    return _docs(t).select("doc_id").join(t.labels, "doc_id").join(present, "doc_id", "left").groupBy("toxic").agg(F.round(F.avg(F.coalesce("present", F.lit(0))), 6).alias("mean_present"), F.count("*").alias("n"))
+    return t.documents.select("doc_id").join(t.labels, "doc_id").join(present, "doc_id", "left").groupBy("toxic").agg(F.round(F.avg(F.coalesce("present", F.lit(0))), 6).alias("mean_present"), F.count("*").alias("n"))
 
 
 # ----- tests
@@ -326,11 +324,14 @@ def x04(t):
     return t.pred_v.groupBy("split_id", "role").agg(F.count("*").alias("n"), F.sum("y_bin").alias("positives"))
 
 
-@query("X05", "SELECT DISTINCT split_id, role, case_id FROM pred_v WHERE split_id < 1997")
+@query("X05", "SELECT split_id, CASE WHEN (case_id + split_id) % 3 = 0 THEN 'test' ELSE 'train' END AS role, case_id, count(*) AS n FROM pred_v GROUP BY ALL")
 def x05(t):
-    """Splits rebuilt from manifests that list their cases."""
-    manifest = t.pred_v.where("split_id < 1997").groupBy("split_id", "role").agg(F.collect_set("case_id").alias("cases"))
-    return manifest.select("split_id", "role", F.explode("cases").alias("case_id"))
+    """Splits rebuilt by case name from saved manifests, which are long: a row for each split, role and case."""
+    path = new_path(t.spark)
+    role = F.when((F.col("case_id") + F.col("split_id")) % 3 == 0, "test").otherwise("train")
+    S.replace(t.pred_v.select("split_id", role.alias("role"), "case_id").distinct(), path, ["split_id"])
+    manifest = t.spark.read.parquet(path).withColumn("split_id", F.col("split_id").cast("long"))
+    return X.rebuilt(t.pred_v.drop("role"), manifest, ["split_id", "case_id"]).groupBy("split_id", "role", "case_id").agg(F.count("*").alias("n"))
 
 
 def _boot(t, values=200):
@@ -370,13 +371,8 @@ def x10(t):
     by = ["dataset_key", "model_key"]
     p = t.pred_v.select(*by, "row_id", "y_prob", "y_bin")
     each = p.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(49))))
-    # a permuted label is the label of the row at the same place in another hash order
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*by, "replicate")
-    placed = each.withColumns({"i": F.row_number().over(w.orderBy("row_id")), "j": F.row_number().over(w.orderBy(X.uniform(F.col("row_id"), F.col("replicate")), "row_id"))})
-    labels = placed.select(*by, "replicate", F.col("j").alias("i"), F.col("y_bin").alias("permuted"))
-    null = M.auroc_auprc(placed.select(*by, "replicate", "i", "y_prob").join(labels, [*by, "replicate", "i"]), [*by, "replicate"], "y_prob", "permuted").select(*by, "auroc")
+    mixed = X.permuted(each, [*by, "replicate"], "row_id", "y_bin", F.col("replicate"), "permuted")
+    null = M.auroc_auprc(mixed, [*by, "replicate"], "y_prob", "permuted").select(*by, "auroc")
     seen = M.auroc_auprc(p, by, "y_prob", "y_bin").select(*by, F.col("auroc").alias("observed"))
     return null.join(seen, by).groupBy(*by, "observed").agg(((1 + F.count_if(F.col("auroc") >= F.col("observed"))) / (1 + F.count("auroc"))).alias("p"))
 

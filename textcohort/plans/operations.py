@@ -96,20 +96,27 @@ def s10(t):
     return t.spark.read.parquet(path).groupBy(F.col("split_id").cast("long").alias("split_id")).agg(F.count("*").alias("n"))
 
 
-@query("S11", "SELECT run_id, kind, count(*) AS n FROM (VALUES ('r1', 'cost_json_b'), ('r1', 'other'), ('r2', 'cost_json_b'), ('r2', 'other')) v(run_id, kind) GROUP BY ALL")
+RUNS = "(SELECT run_id, modality, CASE WHEN raw_metric = 'n' THEN 'cost_json_b' WHEN raw_metric = 'mae' THEN 'metrics_csv' WHEN raw_metric = 'AUROC' THEN 'run_log' ELSE 'other' END AS kind FROM metric_v)"
+
+
+@query("S11", f"SELECT run_id, kind, count(DISTINCT modality) AS n FROM {RUNS} GROUP BY ALL")
 def s11(t):
+    """Run folders with a folder per modality and artifact, written from the metric rows and found again."""
     root = new_path(t.spark)
-    for run in ("r1", "r2"):
-        t.spark.range(1, numPartitions=1).selectExpr("'{}' AS value").write.text(f"{root}/{run}/combined/x_cost.json")
+    artifact = F.when(F.col("raw_metric") == "n", "all_cost.json").when(F.col("raw_metric") == "mae", "metrics.csv").when(F.col("raw_metric") == "AUROC", "run.log").otherwise("notes.txt")
+    rows = t.metric_v.select("run_id", "modality", artifact.alias("artifact"), F.to_json(F.struct("target", "value")).alias("value"))
+    rows.write.partitionBy("run_id", "modality", "artifact").text(root)
     got = S.artifacts(t.spark, root, "b").where("name LIKE 'part-%'")
-    own = F.element_at(F.split("path", "/"), -2)
-    both = got.select("run_id", S.classify(F.lit("b"), own).alias("kind")).unionAll(got.select("run_id", "kind"))
-    return both.groupBy("run_id", "kind").agg(F.count("*").alias("n"))
+    part = lambda k: F.element_at(F.split(F.element_at(F.split("path", "/"), k), "="), -1)
+    return got.groupBy("run_id", S.classify(F.lit("b"), part(-2)).alias("kind")).agg(F.count_distinct(part(-3)).alias("n"))
 
 
-@query("S12", "SELECT * FROM (VALUES ('r1', 'first', 'a', '/x'), ('r2', 'r2', 'b', NULL)) v(run_id, label, approach, path)")
+@query("S12", "SELECT DISTINCT run_id, CASE WHEN starts_with(run_id, 'A') THEN 'first ' || run_id ELSE run_id END AS label, CASE WHEN starts_with(run_id, 'A') THEN 'a' ELSE 'b' END AS approach, CASE WHEN starts_with(run_id, 'A') THEN '/runs/' || run_id END AS path FROM metric_v")
 def s12(t):
-    return S.config(t.spark, json.dumps({"runs": [{"run_id": "r1", "label": "first", "approach": "a", "path": "/x"}, {"run_id": "r2", "approach": "b"}]}))
+    """A comparison's configuration, written as JSON for the runs there are; some give neither label nor path."""
+    runs = sorted(r.run_id for r in t.metric_v.select("run_id").distinct().collect())
+    told = [{"run_id": r, "label": f"first {r}", "approach": "a", "path": f"/runs/{r}"} if r.startswith("A") else {"run_id": r, "approach": "b"} for r in runs]
+    return S.config(t.spark, json.dumps({"runs": told}))
 
 
 WIDE = "SELECT l_returnflag, avg(l_quantity) AS mae, min(l_quantity) AS mae_ci_low, max(l_quantity) AS mae_ci_high, avg(l_discount) AS rmse FROM lineitem GROUP BY 1"
@@ -124,11 +131,17 @@ def s13(t):
     return S.long_metrics(_wide(t), ["l_returnflag"], ["mae", "rmse"]).select("l_returnflag", "metric", F.round("value", 5).alias("value"))
 
 
-@query("S14", "SELECT * FROM (VALUES ('score', 'mae', CAST(4.5 AS DOUBLE)), ('score', 'rho', 0.7), ('relapse', 'auroc', 0.75)) v(target, metric, value)")
+@query("S14", "SELECT run_id, target, metric, max(value) AS value FROM (SELECT run_id, target, raw_metric || '_' || modality AS metric, value FROM metric_v) GROUP BY ALL")
 def s14(t):
+    """Evaluation files, one for each run, with an object of metrics for each target and a note that is no number."""
     path = new_path(t.spark)
-    t.spark.createDataFrame([(json.dumps({"score": {"mae": 4.5, "rho": 0.7}, "relapse": {"auroc": 0.75, "note": "text"}}),)], "value string").write.text(path)
-    return S.json_metrics(S.whole_texts(t.spark, path)).select("target", "metric", "value")
+    metrics = t.metric_v.groupBy("run_id", "target", F.concat_ws("_", "raw_metric", "modality").alias("metric")).agg(F.max("value").alias("value"))
+    inner = metrics.groupBy("run_id", "target").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.col("value").cast("string")))).alias("m"))
+    noted = inner.withColumn("m", F.map_concat("m", F.create_map(F.lit("note"), F.lit("text"))))
+    files = noted.groupBy("run_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("target", "m")))).alias("value"))
+    files.repartition("run_id").write.partitionBy("run_id").text(path)
+    run = F.regexp_extract("path", "run_id=([^/]+)", 1)
+    return S.json_metrics(S.whole_texts(t.spark, path)).select(run.alias("run_id"), "target", "metric", "value")
 
 
 @query("S15", f"SELECT l_returnflag, metric, round(value, 5) AS value, low, high FROM (SELECT l_returnflag, 'mae' AS metric, mae AS value, mae_ci_low AS low, mae_ci_high AS high FROM ({WIDE}) UNION ALL SELECT l_returnflag, 'rmse', rmse, NULL, NULL FROM ({WIDE}))")
@@ -136,11 +149,14 @@ def s15(t):
     return S.long_metrics(_wide(t), ["l_returnflag"], ["mae", "rmse"]).withColumn("value", F.round("value", 5))
 
 
-@query("S16", "SELECT * FROM (VALUES ('root', 'calls', CAST(3 AS DOUBLE)), ('cumulative', 'calls', 7), ('cumulative', 'cost', 0.5)) v(block, metric, value)")
+@query("S16", "SELECT mode, block, metric, CAST(value AS DOUBLE) AS value FROM (SELECT mode, 'root' AS block, 'calls' AS metric, count(*) AS value FROM usage_v GROUP BY 1 UNION ALL SELECT mode, 'cumulative', 'calls', count(*) * 2 FROM usage_v GROUP BY 1 UNION ALL SELECT mode, 'cumulative', 'tokens', sum(tokens) FROM usage_v GROUP BY 1)")
 def s16(t):
+    """Cost files, one for each mode."""
     path = new_path(t.spark)
-    t.spark.createDataFrame([(json.dumps({"calls": 3, "cumulative": {"calls": 7, "cost": 0.5}}),)], "value string").write.text(path)
-    return S.cost_metrics(S.whole_texts(t.spark, path)).select("block", "metric", "value")
+    counted = t.usage_v.groupBy("mode").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"))
+    value = F.to_json(F.struct("calls", F.struct((F.col("calls") * 2).alias("calls"), "tokens").alias("cumulative")))
+    counted.select("mode", value.alias("value")).repartition("mode").write.partitionBy("mode").text(path)
+    return S.cost_metrics(S.whole_texts(t.spark, path)).select(F.regexp_extract("path", "mode=([^/]+)", 1).alias("mode"), "block", "metric", "value")
 
 
 @query("S17", "SELECT user_id, CAST(epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts))) AS BIGINT) AS seconds FROM events GROUP BY 1")
@@ -149,14 +165,18 @@ def s17(t):
     return S.runtime(lines, ["user_id"])
 
 
-@query("S18", "SELECT * FROM (VALUES ('m1', 'score', 'rho', CAST(0.7 AS DOUBLE), 'manual')) v(run_id, target, metric, value, source)")
+@query("S18", "SELECT run_id, target, raw_metric AS metric, max(value) AS value, 'manual' AS source FROM metric_v WHERE raw_metric = 'AUROC' GROUP BY ALL")
 def s18(t):
-    return S.manual(t.spark, [{"run_id": "m1", "target": "score", "metric": "rho", "value": 0.7}])
+    """Metrics entered by hand: the best of each run and target, as plain records."""
+    best = t.metric_v.where("raw_metric = 'AUROC'").groupBy("run_id", "target").agg(F.max("value").alias("value")).collect()
+    return S.manual(t.spark, [{"run_id": r.run_id, "target": r.target, "metric": "AUROC", "value": r.value} for r in best])
 
 
-@query("S19")
+@query("S19", r"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8-sig' ELSE 'utf-16' END AS encoding, md5(text) AS h, CAST(length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) AS BIGINT) AS n_non_ascii FROM documents")
 def s19(t):
-    return S.decoded(t.spark, _lines(t, t.documents.where("lang = 'fr'").select(F.col("text").alias("value")).coalesce(2))).select("encoding", "n_non_ascii")
+    """Each text in one of three encodings, told from its bytes."""
+    raw = F.when(F.col("doc_id") % 3 == 0, F.encode("text", "UTF-8")).when(F.col("doc_id") % 3 == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-16"))
+    return S.decoded(t.documents.select("doc_id", raw.alias("content"))).select("doc_id", "encoding", F.md5("text").alias("h"), "n_non_ascii")
 
 
 @query("S20", "SELECT doc_id, lang FROM documents")
@@ -164,9 +184,10 @@ def s20(t):
     return S.subset(t.documents, ["doc_id", "lang"])
 
 
-@query("S21", "SELECT doc_id, md5(trim(text, ' ' || chr(10))) AS h FROM documents WHERE lang = 'en'")
+@query("S21", "SELECT doc_id, md5(trim(text, ' ' || chr(10))) AS h FROM documents")
 def s21(t):
-    return t.documents.where("lang = 'en'").select("doc_id", F.md5(F.btrim("text", F.lit(" \n"))).alias("h"))
+    path = _csv(t, S.trimmed(t.documents.select("doc_id", "text"), ["text"]))
+    return S.csv(t.spark, path, "doc_id long, text string").select("doc_id", F.md5("text").alias("h"))
 
 
 @query("S22", "SELECT case_id, row_index, CAST(NULL AS VARCHAR) AS phrases, 1 AS missing, 'no text' AS missing_reason FROM cases_v WHERE text_a = 'N/A'")
@@ -202,11 +223,11 @@ def s26(t):
 # ----- sinks: what a table holds after it was written
 
 
-@query("K01", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey < 50")
+@query("K01", "SELECT s_suppkey, upper(s_name) AS s_name FROM supplier")
 def k01(t):
     path = new_path(t.spark)
     S.replace(t.supplier.select("s_suppkey", "s_name"), path)
-    S.replace(t.supplier.where("s_suppkey < 50").select("s_suppkey", "s_name"), path)
+    S.replace(t.supplier.select("s_suppkey", F.upper("s_name").alias("s_name")), path)
     return t.spark.read.parquet(path)
 
 
@@ -238,9 +259,11 @@ def k05(t):
     return S.with_manifest(t.pred_v.select("split_id", "case_id"), new_path(t.spark), "split_id", "case_id").drop("hash")
 
 
-@query("K06", "SELECT source, string_agg(case_id, ';' ORDER BY case_id) AS skipped FROM cases_v WHERE text_a = 'N/A' GROUP BY 1")
+@query("K06", "SELECT source, row_index // 1000 AS block, count(*) AS n, string_agg(case_id, ';' ORDER BY row_index) AS skipped FROM cases_v WHERE text_a = 'N/A' GROUP BY ALL")
 def k06(t):
-    return t.cases_v.where(T.is_missing(F.col("text_a"))).groupBy("source").agg(F.array_join(F.sort_array(F.collect_list("case_id")), ";").alias("skipped"))
+    """Skipped cases as joined lists, one for each thousand of the table, so that no cell grows with it."""
+    gone = t.cases_v.where(T.is_missing(F.col("text_a")))
+    return S.joined_lists(gone, ["source", F.floor(F.col("row_index") / 1000).alias("block")], "row_index", "case_id", "skipped")
 
 
 @query("K07")
@@ -288,14 +311,14 @@ def t31(t):
 # ----- extraction and resume
 
 
-REQUESTS = "SELECT case_id, row_index, 'b' AS mode FROM cases_v WHERE lang = 'en'"
+REQUESTS = "SELECT case_id, row_index, 'b' AS mode FROM cases_v"
 
 
 def _requests(t):
-    return t.cases_v.where("lang = 'en'").select("case_id", "row_index", F.lit("b").alias("mode"), F.lit("s0").alias("split_id"), F.lit("train").alias("split_role"), F.col("text_b").alias("text"))
+    return t.cases_v.select("case_id", "row_index", F.lit("b").alias("mode"), F.lit("s0").alias("split_id"), F.lit("train").alias("split_role"), F.col("text_b").alias("text"))
 
 
-@query("E03", "SELECT case_id FROM cases_v WHERE lang = 'en' AND row_index % 4 <> 0")
+@query("E03", "SELECT case_id FROM cases_v WHERE row_index % 4 <> 0")
 def e03(t):
     done = _requests(t).where("row_index % 4 = 0")
     return E.pending(_requests(t), done).select("case_id")
@@ -331,9 +354,10 @@ def e07(t):
     return S.union_all(parts).groupBy("mode").agg(*(F.sum(c).alias(c) for c in ("calls", "fresh", "cached", "output")))
 
 
-@query("E08", "SELECT split_id, 'one class' AS error FROM pred_v GROUP BY 1 HAVING min(y_bin) = max(y_bin)")
+@query("E08", "SELECT case_id, CASE WHEN max(y_bin) = 1 THEN 'only 1' ELSE 'only 0' END AS error FROM pred_v GROUP BY 1 HAVING min(y_bin) = max(y_bin)")
 def e08(t):
-    return t.pred_v.groupBy("split_id").agg(F.min("y_bin").alias("a"), F.max("y_bin").alias("b")).where("a = b").select("split_id", F.lit("one class").alias("error"))
+    """Units that can't be fitted, as each has one class only, marked as failed."""
+    return E.failed(t.pred_v, ["case_id"], "y_bin")
 
 
 @query("E09", "SELECT n_nationkey, 'kept' AS state FROM nation WHERE n_nationkey < 5 UNION ALL SELECT n_nationkey, 'new' FROM nation WHERE n_nationkey >= 5")
@@ -393,9 +417,9 @@ def m12(t):
     return B.calibrated(t.pred_v, ["model_key"], "y_bin", "y_prob")
 
 
-@query("P13", "SELECT id, feature, value FROM (UNPIVOT (SELECT id, x AS grp__x__present, y AS phr__y__present FROM pairs_v WHERE id % 100 = 1) ON grp__x__present, phr__y__present INTO NAME feature VALUE value) WHERE starts_with(feature, 'grp__')")
+@query("P13", "SELECT id, feature, value FROM (UNPIVOT (SELECT id, x AS grp__x__present, y AS phr__y__present FROM pairs_v) ON grp__x__present, phr__y__present INTO NAME feature VALUE value) WHERE starts_with(feature, 'grp__')")
 def p13(t):
-    long = t.pairs_v.where("id % 100 = 1").select("id", F.col("x").alias("grp__x__present"), F.col("y").alias("phr__y__present")).unpivot("id", ["grp__x__present", "phr__y__present"], "feature", "value")
+    long = t.pairs_v.select("id", F.col("x").alias("grp__x__present"), F.col("y").alias("phr__y__present")).unpivot("id", ["grp__x__present", "phr__y__present"], "feature", "value")
     return long.where(F.startswith("feature", F.lit("grp__")))
 
 
@@ -422,12 +446,10 @@ def h12(t):
 # ----- planning
 
 
-@query("P28", "SELECT mode FROM (VALUES ('a'), ('b')) m(mode)")
+@query("P28", "SELECT needed AS mode, count(*) AS n FROM usage_v JOIN (VALUES ('mode0', 'a'), ('mode1', 'b'), ('mode2', 'a'), ('mode2', 'b')) m(mode, needed) USING (mode) GROUP BY 1")
 def p28(t):
-    """Modes that need extraction: single texts, however they are combined later."""
-    wanted = t.spark.createDataFrame([("a",), ("b",), ("both",)], "mode string")
-    needs = t.spark.createDataFrame([("a", "a"), ("b", "b"), ("both", "a"), ("both", "b")], "mode string, needed string")
-    return wanted.join(F.broadcast(needs), "mode").select(F.col("needed").alias("mode")).distinct()
+    """Calls for each text that the modes in use need: single texts, however they are combined later."""
+    return E.needed(t.usage_v.select("mode"), {"mode0": ["a"], "mode1": ["b"], "mode2": ["a", "b"]}, "mode").groupBy(F.col("needed").alias("mode")).agg(F.count("*").alias("n"))
 
 
 @query("P32", "SELECT c_custkey AS custkey, c_nationkey AS nationkey, s_name FROM customer JOIN supplier ON c_custkey = s_suppkey AND c_nationkey = s_nationkey")
@@ -447,15 +469,15 @@ def _is_object(answer):
     return answer.startswith("{")
 
 
-@query("E01", "SELECT case_id, length(text_b) AS length, 1 AS attempts FROM cases_v WHERE lang = 'en'")
+@query("E01", "SELECT case_id, length(text_b) AS length, 1 AS attempts FROM cases_v")
 def e01(t):
     """One call per request through the extractor interface, here with a local stand-in for the service."""
     got = E.call_extractor(_echo, _is_object)(_requests(t).select("case_id", "text"))
     return got.select("case_id", F.from_json("answer", "length long")["length"].alias("length"), "attempts")
 
 
-@query("E04", "SELECT 'en' AS lang, count(*) AS n, true AS capped FROM cases_v WHERE lang = 'en'")
+@query("E04", "SELECT count(*) AS n, true AS capped FROM cases_v")
 def e04(t):
     """At most two tasks ask at a time."""
     got = E.call_extractor(_echo, _is_object, most_at_once=2)(_requests(t).select("case_id", "text"))
-    return got.withColumn("task", F.spark_partition_id()).agg(F.count("*").alias("n"), (F.count_distinct("task") <= 2).alias("capped")).select(F.lit("en").alias("lang"), "n", "capped")
+    return got.withColumn("task", F.spark_partition_id()).agg(F.count("*").alias("n"), (F.count_distinct("task") <= 2).alias("capped"))
\ No newline at end of file

@@ -8,6 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import views
 
+#: White space as Unicode sees it, and a text in lower case with it collapsed, in SQL.
+SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+NORM = f"trim(regexp_replace(lower(coalesce(text, '')), '{SPACE}', ' ', 'g'))"
+
+
+def wordy(text: str) -> str:
+    """A text whose letters beyond ASCII are underscores, so that the SQL engine's ASCII word boundaries are where Unicode's are."""
+    return rf"regexp_replace({text}, '[^\x00-\x7F\p{{P}}\p{{S}}\p{{Z}}\p{{C}}]', '_', 'g')"
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}

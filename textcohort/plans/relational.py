@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from ..functions import text as T
 from ..operators import ranks as R
 from .registry import query
@@ -423,7 +424,10 @@ def r10(t):
     return side("AF", "a").join(side("RF", "b"), "modality")
 
 
-@query("R11")
+ONTOLOGY = ", ".join(f"('{k}', '{c}', {i}, '{p}')" for k, (c, ps) in C.ONTOLOGY.items() for i, p in enumerate(ps))
+
+
+@query("R11", f"SELECT * FROM (VALUES {ONTOLOGY}) v(concept, category, place, pattern)")
 def r11(t):
     from ..operators.recode import ontology
 

@@ -38,9 +38,19 @@ def with_case_id(df: DataFrame, index: str = "row_index") -> DataFrame:
 
 
 def numbered(df: DataFrame, index: str = "row_index") -> DataFrame:
-    """Rows with their dense place in the file order; two narrow passes, nothing is sorted."""
-    rows = df.rdd.zipWithIndex().map(lambda p: (*p[0], p[1]))
-    return df.sparkSession.createDataFrame(rows, T.StructType([*df.schema.fields, T.StructField(index, T.LongType())]))
+    """Rows with their dense place in the file order; two narrow passes, nothing is sorted.
+
+    Spark's own ids grow by one within a partition; the rows of the partitions before, a number
+    for each partition, are added.
+    """
+    at = df.withColumn("__at", F.monotonically_increasing_id())
+    before, total = [], 0
+    for part, n in sorted(at.groupBy(F.shiftright("__at", 33)).count().collect()):
+        before.append((part, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(before, "__part long, __before long")
+    joined = at.join(F.broadcast(offsets), F.shiftright("__at", 33) == F.col("__part"))
+    return joined.withColumn(index, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__before")
 
 
 def cases(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -95,12 +105,12 @@ def classify(approach: Column, name: Column) -> Column:
 
 
 def artifacts(spark: SparkSession, root: str, approach: str) -> DataFrame:
-    """Files of run folders, root/run/.../file: run_id, path, name, kind, shots, modality; contents aren't read."""
+    """Files of run folders, root/run/.../file (a run's folder may be named run_id=run): run_id, path, name, kind, shots, modality; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
     parts = F.split(F.substring_index("path", root.rstrip("/") + "/", -1), "/")
     name = F.element_at(parts, -1)
     pick = lambda p: F.nullif(F.regexp_extract("path", p, 1), F.lit(""))
-    return files.select(F.element_at(parts, 1).alias("run_id"), "path", name.alias("name"), classify(F.lit(approach), name).alias("kind"), pick(r"(shotset_[A-Za-z0-9]+)").alias("shots"), pick(r"(mri_only|path_only|combined)").alias("modality"), "length")
+    return files.select(F.element_at(F.split(F.element_at(parts, 1), "="), -1).alias("run_id"), "path", name.alias("name"), classify(F.lit(approach), name).alias("kind"), pick(r"(shotset_[A-Za-z0-9]+)").alias("shots"), pick(r"(mri_only|path_only|combined)").alias("modality"), "length")
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -140,9 +150,21 @@ def manual(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame([(r["run_id"], r["target"], r["metric"], float(r["value"]), "manual") for r in rows], "run_id string, target string, metric string, value double, source string")
 
 
-def decoded(spark: SparkSession, path: str) -> DataFrame:
-    """Files with the encoding their bytes suggest, their text, and what isn't ASCII in it."""
-    return spark.read.format("binaryFile").load(path).select("path", udfs.decode_udf("content").alias("d")).select("path", "d.encoding", "d.text", (F.length("d.text") - F.length(F.regexp_replace("d.text", r"[^\x00-\x7F]", ""))).alias("n_non_ascii"))
+def decoded(raw: DataFrame, content: str = "content") -> DataFrame:
+    """Rows with the encoding that their bytes suggest, their text, and how many of its characters aren't ASCII."""
+    d = raw.withColumn("__d", udfs.decode_udf(content))
+    n = F.length("__d.text") - F.length(F.regexp_replace("__d.text", r"[^\x00-\x7F]", ""))
+    return d.select(*(c for c in raw.columns if c != content), F.col("__d.encoding").alias("encoding"), F.col("__d.text").alias("text"), n.cast("long").alias("n_non_ascii"))
+
+
+def decoded_files(spark: SparkSession, path: str) -> DataFrame:
+    """Whole files, decoded."""
+    return decoded(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def trimmed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The table with blanks and line breaks cut from both ends of text columns."""
+    return df.withColumns({c: F.btrim(c, F.lit(" \n")) for c in columns})
 
 
 def config(spark: SparkSession, text: str) -> DataFrame:
@@ -186,6 +208,12 @@ def with_manifest(df: DataFrame, path: str, key: str, case: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n"), F.substring(F.sha2(F.concat_ws("|", F.sum(F.xxhash64(case).cast("decimal(38,0)")).cast("string"), F.count("*").cast("string")), 256), 1, 16).alias("hash"))
 
 
+def joined_lists(df: DataFrame, by: list, order: str, name: str, out: str) -> DataFrame:
+    """by, n and the names of a group joined by semicolons in order; groups must be of bounded size."""
+    got = df.groupBy(*by).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct(order, name))).alias("__x"))
+    return got.withColumn(out, F.array_join(F.transform("__x", lambda s: s[name]), ";")).drop("__x")
+
+
 def json_safe(df: DataFrame) -> DataFrame:
     """Rows as JSON, non-finite numbers as null."""
     safe = [X.finite(F.col(f.name)).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name) for f in df.schema]
