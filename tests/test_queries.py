@@ -16,12 +16,17 @@ def db():
 @pytest.mark.parametrize("name", sorted(plans.ORACLES))
 def test_matches_sql(spark, db, name):
     assert_same(plans.QUERIES[name](spark, DATA), db, plans.ORACLES[name])
+    assert db.sql(f"SELECT count(*) FROM ({plans.ORACLES[name]})").fetchone()[0] > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLES)))
-def test_runs(spark, name):
+#: SQL that rightly finds nothing in the tables; test_without_sql and test_operators show what these find.
+NOTHING = {"X03"}
+
+
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLES) - NOTHING))
+def test_gives_rows(spark, name):
     df = plans.QUERIES[name](spark, DATA)
-    assert df.columns and df.count() >= 0
+    assert df.columns and df.count() > 0
 
 
 def test_entry_imports_without_the_subpackage(monkeypatch):

@@ -29,7 +29,7 @@ def with_group(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
 
 
 def running(df: DataFrame, by: list[str], order: list[Column], bucket: Column, sums: dict[str, Column], descending: bool = False) -> DataFrame:
-    """Rows with running sums within groups, the row itself included.
+    """Rows with running sums within groups, the row itself included; rows that tie come one after the other.
 
     bucket grows with the order (falls, if descending); a task sums a bucket at a time, and the
     buckets' totals are summed before, so no group has to be sorted in one task.
@@ -39,7 +39,8 @@ def running(df: DataFrame, by: list[str], order: list[Column], bucket: Column, s
     totals = d.groupBy(*key).agg(*(F.sum(f"__v_{k}").alias(k) for k in sums))
     before = Window.partitionBy(*by).orderBy(F.desc("__b") if descending else F.asc("__b"))
     base = totals.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(key)), *((F.sum(k).over(before) - F.col(k)).alias(f"__s_{k}") for k in sums))
-    inner = d.withColumns({f"__r_{k}": F.sum(f"__v_{k}").over(Window.partitionBy(*key).orderBy(*order)) for k in sums})
+    within = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = d.withColumns({f"__r_{k}": F.sum(f"__v_{k}").over(within) for k in sums})
     joined = inner.join(base, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)])
     return joined.select(*(F.col(f"`{c}`") for c in df.columns), *((F.col(f"__r_{k}") + F.col(f"__s_{k}")).alias(k) for k in sums))
 
