@@ -55,9 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over documents, with each stage written and read again."""
+    """The last stage's rows over documents, with each stage written and read again; a stage's input is deleted when it is done."""
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, scratch.write(stage(spark, docs, sf_dir))
+        if k:
+            scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
