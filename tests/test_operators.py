@@ -241,6 +241,49 @@ def test_call_extractor_retries(spark):
     assert [(r.answer, r.attempts) for r in got] == [("ok", 2), ("ok", 2)]
 
 
+def test_chat_extractor_over_http(spark):
+    """Usage of all attempts is added up; errors of the service are attempts; waits grow."""
+    import threading
+    import time
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    asked = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            text = body["messages"][-1]["content"]
+            asked.append((time.monotonic(), text, body["model"], self.headers["X-Key"]))
+            n = sum(a[1] == text for a in asked)
+            self.send_response(500 if text == "broken" and n == 1 else 200)
+            self.end_headers()
+            answer = "bad" if text == "never" or text == "second" and n == 1 else "ok"
+            self.wfile.write(b"" if text == "empty" else json.dumps({"choices": [{"message": {"content": answer}}], "usage": {"prompt_tokens": 10, "prompt_tokens_details": {"cached_tokens": 4}, "completion_tokens": 3, "completion_tokens_details": {"reasoning_tokens": 1}}}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        post = E.http_post(f"http://127.0.0.1:{server.server_port}", {"X-Key": "k"}, 5)
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(["first", "second", "never", "broken", "empty", None])], "id int, text string").coalesce(1)
+        got = {r.id: r for r in E.usage(E.chat_extractor(post, lambda a: a == "ok", pause=0.2, message={"model": "m"})(df)).collect()}
+    finally:
+        server.shutdown()
+    assert [(got[i].answer, got[i].attempts, got[i].calls, got[i].fresh, got[i].cached, got[i].output, got[i].reasoning_tokens) for i in range(6)] == [
+        ("ok", 1, 1, 6, 4, 3, 1), ("ok", 2, 2, 12, 8, 6, 2), (None, 3, 3, 18, 12, 9, 3), ("ok", 2, 1, 6, 4, 3, 1), (None, 3, 0, 0, 0, 0, 0), ("ok", 1, 1, 6, 4, 3, 1)]
+    assert all(a[2:] == ("m", "k") for a in asked)
+    first, second, third = (a[0] for a in asked if a[1] == "never")
+    assert second - first > 0.9 and 0.15 < third - second < 0.9
+
+
+def test_direction(spark):
+    df = spark.createDataFrame([("a", 1.0, 1.0, None), ("a", 2.0, 3.0, None), ("b", 1.0, 3.0, 0.5), ("b", 2.0, 1.0, 0.5), ("c", 1.0, 1.0, None)], "f string, x double, y double, rho double")
+    assert {r.f: r.direction for r in Q.direction(df, "f", "x", "y", "rho").collect()} == {"a": 1.0, "b": 1.0, "c": 0.0}
+    assert {r.f: r.direction for r in Q.direction(df, "f", "x", "y").collect()} == {"a": 1.0, "b": -1.0, "c": 0.0}
+
+
 def test_stream_answers_each_request_once(spark, tmp_path):
     schema = "case_id string, row_index long, mode string, split_id string, split_role string, text string"
     record = "case_id string, row_index long, mode string, split_id string, split_role string, phrases array<struct<concept:string,quote:string>>"

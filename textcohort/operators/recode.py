@@ -232,6 +232,13 @@ def weighted_scores(recoded: DataFrame, weight: DataFrame, key: str, uncertain:
     return recoded.join(F.broadcast(weight.select("concept", "normalized")), "concept").select(key, "concept", (value * F.col("normalized")).alias("score"), value.alias("status"))
 
 
+def direction(rows: DataFrame, feature: str, value: str, target: str, given: str | None = None) -> DataFrame:
+    """feature, direction: the sign of a supplied association, or else of the correlation of value and target; 0 where neither says."""
+    own = F.signum(F.coalesce(F.corr(value, target), F.lit(0.0)))
+    said = own if given is None else F.coalesce(F.signum(F.max(given)), own)
+    return rows.groupBy(feature).agg(said.alias("direction"))
+
+
 PHRASE_ITEM = "struct<quote:string,concept:string,normalized_phrase:string,candidate_concepts:string,polarity:string,certainty:string,laterality:string,section:string,mapping_confidence:double>"
 
 

@@ -64,6 +64,11 @@ def violations(splits: DataFrame, cases: DataFrame, case: str) -> DataFrame:
     return both.unionByName(part)
 
 
+def balance(rows: DataFrame, by: list[str], label: str) -> DataFrame:
+    """Rows and positives of each part of each split."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(label).alias("positives"))
+
+
 def poisson_bootstrap(rows: DataFrame, key: str, repeats: int, seed: int) -> DataFrame:
     """Rows with replicate and weight, weights drawn from Poisson(1) by hash; weight 0 makes no row.
 

@@ -171,7 +171,7 @@ def q11(t):
 
 @query("Q13", "SELECT l_returnflag AS concept, CAST(sign(corr(l_quantity, l_discount)) AS DOUBLE) AS direction FROM lineitem GROUP BY 1")
 def q13(t):
-    return t.lineitem.groupBy(F.col("l_returnflag").alias("concept")).agg(F.signum(F.corr("l_quantity", "l_discount")).alias("direction"))
+    return Q.direction(t.lineitem.withColumnRenamed("l_returnflag", "concept"), "concept", "l_quantity", "l_discount")
 
 
 @query("Q14", "SELECT mode, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(CASE WHEN k > 1 THEN least(tokens, 20) ELSE 0 END) AS BIGINT) AS cached FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY seq) AS k FROM usage_v) GROUP BY 1")
@@ -321,7 +321,7 @@ def x03(t):
 
 @query("X04", "SELECT split_id, role, count(*) AS n, CAST(sum(y_bin) AS BIGINT) AS positives FROM pred_v GROUP BY 1, 2")
 def x04(t):
-    return t.pred_v.groupBy("split_id", "role").agg(F.count("*").alias("n"), F.sum("y_bin").alias("positives"))
+    return X.balance(t.pred_v, ["split_id", "role"], "y_bin")
 
 
 @query("X05", "SELECT split_id, CASE WHEN (case_id + split_id) % 3 = 0 THEN 'test' ELSE 'train' END AS role, case_id, count(*) AS n FROM pred_v GROUP BY ALL")

@@ -205,7 +205,7 @@ def s23(t):
 
 @query("S24", "SELECT DISTINCT split_id FROM pred_v WHERE y_prob > 0.9985")
 def s24(t):
-    return t.pred_v.where("y_prob > 0.9985").select("split_id").distinct()
+    return E.finished(t.pred_v, ["split_id"], F.col("y_prob") > 0.9985)
 
 
 @query("S25", "SELECT run_id, raw_metric, value FROM metric_v WHERE raw_metric IN ('mae', 'n')")
@@ -461,23 +461,26 @@ def p32(t):
     return a.join(b, keys).select("custkey", "nationkey", "s_name")
 
 
-def _echo(text):
-    return json.dumps({"length": len(text)})
+def _post(message):
+    """A local stand-in for the service, which echoes a length and says what it used."""
+    text = message["messages"][-1]["content"]
+    tokens = -(-len(text) // 4)
+    return {"choices": [{"message": {"content": json.dumps({"length": len(text)})}}], "usage": {"prompt_tokens": tokens, "prompt_tokens_details": {"cached_tokens": tokens // 2}, "completion_tokens": 7}}
 
 
 def _is_object(answer):
     return answer.startswith("{")
 
 
-@query("E01", "SELECT case_id, length(text_b) AS length, 1 AS attempts FROM cases_v")
+@query("E01", "SELECT case_id, length(text_b) AS length, 1 AS attempts, CAST(ceil(length(text_b) / 4.0) AS BIGINT) - CAST(ceil(length(text_b) / 4.0) AS BIGINT) // 2 AS fresh, CAST(ceil(length(text_b) / 4.0) AS BIGINT) // 2 AS cached, 7 AS output FROM cases_v")
 def e01(t):
-    """One call per request through the extractor interface, here with a local stand-in for the service."""
-    got = E.call_extractor(_echo, _is_object)(_requests(t).select("case_id", "text"))
-    return got.select("case_id", F.from_json("answer", "length long")["length"].alias("length"), "attempts")
+    """One chat call per request with its usage, here with a local stand-in for the service."""
+    got = E.usage(E.chat_extractor(_post, _is_object)(_requests(t).select("case_id", "text")))
+    return got.select("case_id", F.from_json("answer", "length long")["length"].alias("length"), "attempts", "fresh", "cached", "output")
 
 
 @query("E04", "SELECT count(*) AS n, true AS capped FROM cases_v")
 def e04(t):
     """At most two tasks ask at a time."""
-    got = E.call_extractor(_echo, _is_object, most_at_once=2)(_requests(t).select("case_id", "text"))
+    got = E.chat_extractor(_post, _is_object, most_at_once=2)(_requests(t).select("case_id", "text"))
     return got.withColumn("task", F.spark_partition_id()).agg(F.count("*").alias("n"), (F.count_distinct("task") <= 2).alias("capped"))
\ No newline at end of file
