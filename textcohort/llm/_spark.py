@@ -11,7 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "4000"}
 _FOLDERS: list[tuple[SparkSession, str]] = []
 
 
@@ -53,7 +53,7 @@ class Scratch:
     def write(self, df: DataFrame, **options: str) -> DataFrame:
         path = f"{self.root}/{self.n}"
         self.n += 1
-        with shuffles_freed(self.spark):
+        with settings(self.spark):
             df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
@@ -63,7 +63,7 @@ class Scratch:
         """The rows where a boolean column is true, and those where it is false, as tables that can be dropped apart."""
         path = f"{self.root}/{self.n}"
         self.n += 1
-        with shuffles_freed(self.spark):
+        with settings(self.spark):
             df.write.options(**options).partitionBy(flag).parquet(path)
         schema, out = df.drop(flag).schema, []
         for value in ("true", "false"):
@@ -98,14 +98,18 @@ def broadcast_upto(df: DataFrame, rows: int) -> DataFrame:
 
 
 @contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Spark deletes a statement's shuffle files when it ends, not at some later collection of the driver's garbage."""
-    before = spark.conf.get(_FREE, None)
-    spark.conf.set(_FREE, "true")
+def settings(spark: SparkSession) -> Iterator[None]:
+    """For one statement: its shuffle files are deleted when it ends, not at some later collection of
+    the driver's garbage, and Arrow batches of texts are a few megabytes, which bounds a task's memory.
+    """
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_FREE)
-        else:
-            spark.conf.set(_FREE, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)

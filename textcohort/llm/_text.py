@@ -7,7 +7,9 @@ are 64-bit polynomials modulo 2**64 over random byte values, finalised by a mixe
 
 from __future__ import annotations
 
-from functools import lru_cache
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,33 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(size)
 
 
+def released(run: Callable) -> Callable:
+    """A function of Arrow batches that gives the memory it no longer needs back when its task ends; workers are used again."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        if _powers.cache_info().currsize > 1:
+            _powers.cache_clear()
+        pa.default_memory_pool().release_unused()
+        _trim()
+
+    return wrapped
+
+
+@lru_cache(maxsize=1)
+def _trimmer() -> Callable | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return None  # another C library
+
+
+def _trim() -> None:
+    if (trim := _trimmer()) is not None:
+        trim(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a text column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

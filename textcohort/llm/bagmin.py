@@ -148,6 +148,7 @@ def _draw(out: np.ndarray, limit: np.ndarray, row: np.ndarray, key: np.ndarray,
 
 
 def _sign(bands: Bands):
+    @_text.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, row, key, count in bags(batch.column(1)):
@@ -185,6 +186,7 @@ def similarity(a: pa.Array, b: pa.Array) -> np.ndarray:
 
 
 def _verify(least: float):
+    @_text.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
@@ -195,6 +197,7 @@ def _verify(least: float):
     return run
 
 
+@_text.released
 def _lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles of the classes in a batch: key, a class that has it, its count there, and whether several here have it."""
     for batch in batches:
@@ -208,6 +211,7 @@ def _lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ranked[first].view(np.int64)), pa.array(owner[first]), pa.array(count[order][first].astype(np.int64)), pa.array(several)], names=["key", "c", "n", "several"])
 
 
+@_text.released
 def _parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Odd sketches of bags: each occurrence of a shingle flips one of PARITY_BITS bits.
 

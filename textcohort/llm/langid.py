@@ -82,6 +82,7 @@ def _hash(chars: np.ndarray, n: int) -> np.ndarray:
 def ngram_counts(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, gram, n over whole texts, added up per batch before the shuffle."""
 
+    @_text.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = _text.utf8(batch.column(1))
@@ -236,6 +237,7 @@ def identify(docs: DataFrame, model: KneserNey, key: str = "doc_id", text: str =
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most the n-grams of TRAIN_ROWS texts a language
 
+    @_text.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:

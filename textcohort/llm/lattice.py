@@ -122,6 +122,7 @@ def _unit(column: pa.Array) -> np.ndarray:
 
 
 def _cells_of(lattice: Lattice):
+    @_text.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = np.asarray(batch.column(1).value_lengths())
@@ -147,6 +148,7 @@ def _cells_of(lattice: Lattice):
 def _compare(lattice: Lattice, least: float):
     """Counts of links and spanning links of one pair of blocks."""
 
+    @_text.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a_rows, b_rows, adds = [], [], []

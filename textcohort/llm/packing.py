@@ -44,6 +44,7 @@ def tokenised(docs: DataFrame, path: str | None = None, end: int | None = 0, key
     """
     path = path or public_tokenizers.path(DEFAULT_TOKENIZER)
 
+    @_text.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part, seen = bpe.load(path), TaskContext.get().partitionId(), {}
         for batch in batches:
@@ -107,6 +108,7 @@ def cuts(place: np.ndarray, length: np.ndarray, total: np.ndarray, quantum: int)
 
 
 def _pieces(quantum: int, keep_ids: bool):
+    @_text.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
@@ -130,6 +132,7 @@ def _pieces(quantum: int, keep_ids: bool):
     return run
 
 
+@_text.released
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the task's number and the tokens that it has had before each piece."""
     task, had = TaskContext.get().partitionId(), 0

@@ -91,6 +91,7 @@ def with_counts(docs: DataFrame, text: str = "text", prefix: str = "__q_") -> Da
     """All columns of the table and the counts of each whole text, as prefixed columns; no shuffle."""
     at = docs.columns.index(text)
 
+    @_text.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = _text.utf8(batch.column(at))

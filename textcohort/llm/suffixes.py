@@ -68,6 +68,7 @@ def _unpack(raw: bytes, kind: str) -> np.ndarray:
 
 
 def _chunk(plan: Plan, schema: T.StructType):
+    @_text.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
 
@@ -167,6 +168,7 @@ def _read5(raw: bytes) -> np.ndarray:
 def _deal(plan: Plan, buckets: int):
     """Distinct anchors of each chunk, by bucket: low hash bytes, and low bytes of the text's digest (0: several texts)."""
 
+    @_text.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = {n: i for i, n in enumerate(batch.schema.names)}
@@ -230,6 +232,7 @@ def _meet(plan: Plan):
 def _send(plan: Plan, buckets: int):
     """Per chunk and shard the distinct contents of shared runs; shard -1: where the runs lie and which content each has."""
 
+    @_text.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = {n: i for i, n in enumerate(batch.schema.names)}
@@ -453,6 +456,7 @@ def _solve(plan: Plan):
 
 
 def _cut(plan: Plan, with_text: bool):
+    @_text.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = {n: i for i, n in enumerate(batch.schema.names)}
@@ -525,7 +529,8 @@ def _cuts(docs: DataFrame, plan: Plan, key: str, text: str, with_text: bool) ->
     sent = chunks.select("uid", "ids", "sizes", "blob").join(by_chunk, "uid").mapInArrow(_send(plan, buckets), "uid long, shard long, first long, sizes binary, keys binary, blob binary")
     state, sent = scratch.write_parts(sent.withColumn("is_state", F.col("shard") < 0), "is_state", compression="uncompressed")
     scratch.drop(told)
-    answers = scratch.write(sent.groupBy("shard").applyInArrow(_solve(plan), "uid long, answer binary"))
+    state_table = state
+    answers = answer_table = scratch.write(sent.groupBy("shard").applyInArrow(_solve(plan), "uid long, answer binary"))
     scratch.drop(sent)
     answers = answers.groupBy("uid").agg(F.collect_list("answer").alias("answers"))
     state = state.select("uid", F.col("blob").alias("state"))
@@ -533,8 +538,12 @@ def _cuts(docs: DataFrame, plan: Plan, key: str, text: str, with_text: bool) ->
     if with_text:
         out = last.mapInArrow(_cut(plan, True), T.StructType([T.StructField("extra", inner), T.StructField("text", T.StringType())]))
         place = {c: i for i, c in enumerate(others)}
-        return out.select(*(F.col("text").alias(c) if c == text else F.col(f"extra.c{place[c]}").alias(c) for c in docs.columns))
-    return last.mapInArrow(_cut(plan, False), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        out = out.select(*(F.col("text").alias(c) if c == text else F.col(f"extra.c{place[c]}").alias(c) for c in docs.columns))
+    else:
+        out = last.mapInArrow(_cut(plan, False), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = scratch.write(out)
+    scratch.drop(chunks, copies, state_table, answer_table)
+    return out
 
 
 def repeated_passages(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008

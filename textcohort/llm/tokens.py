@@ -66,12 +66,14 @@ def count_tokens(docs: DataFrame, limit: int = 1024, path: str | None = None, ke
 
     fit_bytes is the length of the longest prefix of at most `limit` tokens, read from the
     prefix counts.  One output row per input row; null and empty texts have no bytes and no
-    tokens; repeated rows are counted each; an empty table gives an empty table; other
+    tokens; a text of just `limit` tokens isn't over it; very long texts are counted whole; rows
+    without a key and repeated rows are counted each; an empty table gives an empty table; other
     columns, whatever their names, are not read.  No shuffle: each task works on its own rows
     and keeps at most bpe.MAX_WORDS words.
     """
     path = path or public_tokenizers.path(DEFAULT_TOKENIZER)
 
+    @_text.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe.load(path)
         for batch in batches:
