@@ -278,6 +278,26 @@ def test_chat_extractor_over_http(spark):
     assert second - first > 0.9 and 0.15 < third - second < 0.9
 
 
+def test_reports_from_a_saved_run(spark, tmp_path):
+    from textcohort.operators import report
+
+    run = str(tmp_path / "run")
+    rows = [(s, f"c{i}", m, float(i), float(i + (i % 3) - 1), ((i * 7 + s) % 20) / 20, int(i % 20 >= 10)) for s in (1, 2) for i in range(40) for m in ("a", "b")]
+    S.replace(spark.createDataFrame(rows, "split_id long, case_id string, model_key string, y_true double, y_value double, y_prob double, y_bin long"), f"{run}/predictions")
+    S.replace(spark.createDataFrame([(s, "a", f, 1.0 if f == "x" else (-1.0) ** s) for s in (1, 2, 3) for f in ("x", "y")], report.COEFFICIENTS), f"{run}/coefficients")
+    got = report.regenerate(spark, run)
+    assert got["cases"].count() == 80 and {r.n_predictions for r in got["cases"].collect()} == {2}
+    value = {(r.model_key, r.metric): r.value for r in got["summary"].collect()}
+    assert value["a", "mae"] == pytest.approx(27 / 40) and value["a", "n"] == 40 and value["a", "auroc"] == value["b", "auroc"]
+    assert {r.metric: r.model_key for r in got["best"].collect()}["mae"] == "a"
+    assert got["missed"].where("kind = 'residual'").groupBy("model_key").count().collect()[0]["count"] == 10
+    assert {r.feature: r.consistency for r in got["signs"].collect()} == {"x": 1.0, "y": pytest.approx(2 / 3)}
+    assert {r.split_id: (r.n, r.positives) for r in got["balance"].collect()} == {1: (80, 40), 2: (80, 40)}
+    # a finished report is read as it is; a forced one follows the run
+    S.replace(spark.createDataFrame(rows[:20], "split_id long, case_id string, model_key string, y_true double, y_value double, y_prob double, y_bin long"), f"{run}/predictions")
+    assert report.regenerate(spark, run)["cases"].count() == 80 and report.regenerate(spark, run, force=True)["cases"].count() == 20
+
+
 def test_direction(spark):
     df = spark.createDataFrame([("a", 1.0, 1.0, None), ("a", 2.0, 3.0, None), ("b", 1.0, 3.0, 0.5), ("b", 2.0, 1.0, 0.5), ("c", 1.0, 1.0, None)], "f string, x double, y double, rho double")
     assert {r.f: r.direction for r in Q.direction(df, "f", "x", "y", "rho").collect()} == {"a": 1.0, "b": 1.0, "c": 0.0}

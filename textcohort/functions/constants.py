@@ -9,10 +9,11 @@ NEGATION = [r"\bno\b", r"\bnot\b", r"\bwithout\b", r"\babsent\b", r"\bnegative f
 UNCERTAINTY = [r"\bpossible\b", r"\bpossibly\b", r"\bprobable\b", r"\blikely\b", r"\bsuspicious\b", r"\bsuspected\b", r"\bcannot exclude\b", r"\bmay represent\b", r"\bindeterminate\b", r"\buncertain\b", r"\bfavored\b", r"\bprobably\b", r"\bpresumably\b"]
 
 #: Words that are no evidence terms.
-STOPWORDS = (
-    "the a an and or of to in for on with is are was were by at from as this that it be has have had but not no into than then there their its also "
-    "may can which within without after before left right breast tumor carcinoma report reports provided tier"
-).split()
+STOPWORDS = [
+    "the", "a", "an", "and", "or", "of", "to", "in", "for", "on", "with", "is", "are", "was", "were", "by", "at", "from", "as", "this", "that", "it",
+    "be", "has", "have", "had", "but", "not", "no", "into", "than", "then", "there", "their", "its", "also", "may", "can", "which", "within",
+    "without", "after", "before", "left", "right", "breast", "tumor", "carcinoma", "report", "reports", "provided", "tier",
+]
 
 #: Flags of report structure: name and pattern over normalised text.
 SECTION_FLAGS = {

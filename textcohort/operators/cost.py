@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
+from ..sources.scratch import broadcast_upto
 
 
 def totals(usage: DataFrame, by: list[str]) -> DataFrame:
@@ -27,7 +28,7 @@ def estimate(prompts: DataFrame, mode: str, order: str, text: str, output_tokens
     sized = prompts.select(mode, order, T.tokens_by_chars(F.col(text)).alias("n"), F.col(text).alias("__t"))
     edges = sized.groupBy(mode).agg(F.min("__t").alias("a"), F.max("__t").alias("z"), F.min(order).alias("first"))
     prefix = edges.select(mode, "first", F.ceil(T.common_prefix(F.col("a"), F.col("z")) / 4).cast("long").alias("prefix"))
-    d = sized.join(F.broadcast(prefix), mode)
+    d = sized.join(broadcast_upto(prefix, 10_000), mode)
     hit = F.when(F.col(order) > F.col("first"), F.least("n", "prefix")).otherwise(0)
     return d.groupBy(mode).agg(F.count("*").alias("calls"), F.sum(F.col("n") - hit).alias("fresh"), F.sum(hit).alias("cached"), (F.count("*") * output_tokens).alias("output"))
 

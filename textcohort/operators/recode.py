@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
+from ..sources.scratch import broadcast_upto
 
 REACH = 80
 #: Phrases that one automaton holds; a larger lexicon is searched in several passes.
@@ -229,7 +230,7 @@ def weights(rel: DataFrame, stability: DataFrame, prevalence: DataFrame, associa
 def weighted_scores(recoded: DataFrame, weight: DataFrame, key: str, uncertain: float = 0.5, negated: float = 0.0) -> DataFrame:
     """key, concept, score: weight times the value of the concept's status, beside the status itself."""
     value = (F.col("present") > 0).cast("double") + uncertain * (F.col("uncertain") > 0).cast("double") + negated * (F.col("negated") > 0).cast("double")
-    return recoded.join(F.broadcast(weight.select("concept", "normalized")), "concept").select(key, "concept", (value * F.col("normalized")).alias("score"), value.alias("status"))
+    return recoded.join(broadcast_upto(weight.select("concept", "normalized"), MAX_PHRASES), "concept").select(key, "concept", (value * F.col("normalized")).alias("score"), value.alias("status"))
 
 
 def direction(rows: DataFrame, feature: str, value: str, target: str, given: str | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from ..operators import metrics as M
 from ..operators import recode as Q
 from ..operators import split as X
 from ..sources import files as S
-from ..sources.scratch import new_path
+from ..sources.scratch import broadcast_upto, new_path
 from .registry import NORM, SPACE, query, wordy
 
 #: A small lexicon for invented prose beside the shared ontology: concept and pattern.
@@ -177,7 +177,7 @@ def q13(t):
 @query("Q14", "SELECT mode, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(CASE WHEN k > 1 THEN least(tokens, 20) ELSE 0 END) AS BIGINT) AS cached FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY seq) AS k FROM usage_v) GROUP BY 1")
 def q14(t):
     first = t.usage_v.groupBy("mode").agg(F.min("seq").alias("first"))
-    d = t.usage_v.join(F.broadcast(first), "mode")
+    d = t.usage_v.join(broadcast_upto(first, 10_000), "mode")
     return d.groupBy("mode").agg(F.sum("tokens").alias("tokens"), F.sum(F.when(F.col("seq") > F.col("first"), F.least("tokens", F.lit(20))).otherwise(0)).alias("cached"))
 
 

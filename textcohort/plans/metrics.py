@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import ranks as R
+from ..operators import report
+from ..sources import files as S
+from ..sources.scratch import new_path
 from .registry import query
 
 r = lambda c, k=6: F.round(c, k).alias(c)
@@ -253,3 +256,20 @@ def l06(t):
 @query("L09", "SELECT raw_metric, run_id, modality, value FROM metric_v QUALIFY row_number() OVER (PARTITION BY raw_metric ORDER BY value DESC, run_id, modality) = 1")
 def l09(t):
     return R.best_row(t.metric_v, ["raw_metric"], [F.desc("value"), F.asc("run_id"), F.asc("modality")]).select("raw_metric", "run_id", "modality", "value")
+
+
+#: The report flow: areas under the curve and errors of pooled predictions, from a saved run.
+Q19_SQL = """WITH p AS (SELECT model_key, case_id, round(avg(y_true), 9) AS y_true, round(avg(y_value), 9) AS y_value, round(avg(y_prob), 9) AS y_prob, max(y_bin) AS y_bin FROM pred_v WHERE role = 'test' GROUP BY ALL),
+ d AS (SELECT model_key, y_prob, sum(y_bin) AS pos, sum(1 - y_bin) AS neg FROM p GROUP BY ALL),
+ c AS (SELECT model_key, pos, neg, sum(neg) OVER (PARTITION BY model_key ORDER BY y_prob) AS below, sum(pos) OVER (PARTITION BY model_key) AS n_pos, sum(neg) OVER (PARTITION BY model_key) AS n_neg FROM d),
+ m AS (SELECT model_key, 'auroc' AS metric, sum(pos * (below - neg) + 0.5 * pos * neg) / (max(n_pos) * max(n_neg)) AS value FROM c GROUP BY 1
+  UNION ALL SELECT model_key, 'mae', avg(abs(y_value - y_true)) FROM p GROUP BY 1 UNION ALL SELECT model_key, 'n', count(*) FROM p GROUP BY 1)
+ SELECT model_key, metric, round(CAST(value AS DOUBLE), 6) AS value FROM m"""
+
+
+@query("Q19", Q19_SQL)
+def q19(t):
+    """Reports made again from the predictions that a run saved."""
+    run = new_path(t.spark)
+    S.replace(t.pred_v.where("role = 'test'").select("split_id", "case_id", "model_key", "y_true", "y_value", "y_prob", "y_bin"), f"{run}/predictions")
+    return report.regenerate(t.spark, run)["summary"].where("metric IN ('auroc', 'mae', 'n')").select("model_key", "metric", r("value"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import text as T
 from ..operators import ranks as R
+from ..operators import recode as Q
 from .registry import query
 
 
@@ -80,15 +81,15 @@ def j10(t):
     return t.customer.select("c_custkey").join(t.orders.where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
 
 
-@query("J11", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
+@query("J11", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def j11(t):
-    return t.customer.select("c_custkey").join(t.orders.where("o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return t.customer.select("c_custkey").join(t.orders.where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @query("J12", "SELECT doc_id, word FROM documents, (VALUES ('nation'), ('thing'), ('ention'), ('zzz')) w(word) WHERE contains(lower(text), word)")
 def j12(t):
-    lexicon = t.spark.createDataFrame([("nation",), ("thing",), ("ention",), ("zzz",)], "word string")
-    return t.documents.crossJoin(F.broadcast(lexicon)).where(F.contains(F.lower("text"), F.col("word"))).select("doc_id", "word")
+    lexicon = t.spark.createDataFrame([("nation",), ("thing",), ("ention",), ("zzz",)], "phrase string")
+    return Q.find_phrases(t.documents.select("doc_id", F.lower("text").alias("text")), lexicon, "doc_id", "text").withColumnRenamed("phrase", "word")
 
 
 @query("J13", "SELECT a.l_shipdate_month AS a, b.l_shipdate_month AS b, count(*) AS n FROM (SELECT DISTINCT l_orderkey, month(l_shipdate) AS l_shipdate_month FROM lineitem WHERE l_returnflag = 'R') a JOIN (SELECT DISTINCT l_orderkey, month(l_shipdate) AS l_shipdate_month FROM lineitem WHERE l_returnflag = 'N') b USING (l_orderkey) GROUP BY 1, 2")
