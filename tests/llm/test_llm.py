@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -388,6 +389,56 @@ def test_suffix_order_and_prefixes(letters, seed):
             assert n == next((k for k in range(50) if raw[a + k] != raw[b + k]), 50)
 
 
+def test_anchors_take_little_memory_and_cover_each_string_once():
+    rng = np.random.default_rng(8)
+    data = rng.integers(97, 123, 2_000_000).astype(np.uint8)
+    offsets = np.concatenate([[0, 0], np.sort(rng.integers(0, len(data), 300)), [len(data), len(data)]]).astype(np.int64)
+    suffixes.anchors(data[:100], np.array([0, 100]), suffixes.Plan())  # powers are kept
+    tracemalloc.start()
+    first, last, _ = suffixes.anchors(data, offsets, suffixes.Plan())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * len(data)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    whole = np.flatnonzero(row[:-49] == row[49:])
+    assert np.array_equal(np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)]), whole)
+
+
+def test_a_shard_sorts_parts_and_equal_contents_once(monkeypatch):
+    """However large a shard and however many copies it has, what is sorted at a time stays small."""
+    rng = random.Random(3)
+    contents = ["".join(rng.choice("ab") for _ in range(80)).encode() for _ in range(200)]
+    contents += [c[:55] + b"x" * 30 for c in contents]  # the first strings are shared
+    part = [k % 200 for k in range(400)]
+    chunks = [sorted(rng.sample(range(400), 300), key=lambda k: part[k]) for _ in range(20)]
+    keys = [[rng.randint(0, 50) for _ in c] for c in chunks]
+    pack = lambda x, kind: suffixes._pack(np.array(x, kind))
+    binary = {
+        "sizes": [pack([len(contents[k]) for k in c], "<u4") for c in chunks],
+        "parts": [pack([part[k] for k in c], "u1") for c in chunks],
+        "keys": [pack(k, "<i8") for k in keys],
+        "blob": [suffixes._pack(np.frombuffer(b"".join(contents[k] for k in c), np.uint8)) for c in chunks],
+    }
+    table = pa.table({"uid": pa.array(range(20), pa.int64()), "first": pa.array([7] * 20, pa.int64()), **{k: pa.array(v, pa.binary()) for k, v in binary.items()}})
+    monkeypatch.setattr(suffixes, "PART_BYTES", 20_000, raising=False)
+    sizes, order = [], suffixes.suffix_order
+    monkeypatch.setattr(suffixes, "suffix_order", lambda data, *a: sizes.append(len(data)) or order(data, *a))
+    got = suffixes._solve(suffixes.Plan())(table)
+    assert max(sizes) <= 20_000 and sum(sizes) <= sum(map(len, contents))
+    least = {}
+    for c, own in zip(chunks, keys, strict=True):
+        for k, key in zip(c, own, strict=True):
+            for i in range(len(contents[k]) - 49):
+                s = part[k], contents[k][i : i + 50]
+                least[s] = min(key, least.get(s, key))
+    told = {}
+    for uid, raw in zip(got.column("uid").to_pylist(), got.column("answer").to_pylist(), strict=True):
+        for c, start, n, key in zip(*suffixes._unpack(raw, "<i8").reshape(4, -1).tolist(), strict=True):
+            told.update({(uid, c - 7, start + i): key for i in range(n)})
+    want = {(u, j, i): low for u, c in enumerate(chunks) for j, k in enumerate(c) for i in range(len(contents[k]) - 49) if (low := least[part[k], contents[k][i : i + 50]]) < keys[u][j]}
+    assert told == want
+
+
 # ----- mixing
 
 

@@ -9,8 +9,10 @@ smaller key.  Documents are grouped in chunks of a few megabytes, the shards of
    Only anchors that two different texts have can matter.
 2. For these, the run's bytes are sent once per chunk and content, with the least key, to the
    shard of the anchor.  All copies of a string meet there.
-3. A shard sorts its suffixes as Larsson and Sadakane do: by a few bytes, then, only within
-   groups still equal, by the ranks of what follows at doubled distance.  Kasai's common
+3. A shard works through its anchors in parts of about a megabyte and keeps equal contents of
+   a part once, with the least key.  It sorts their suffixes as Larsson and Sadakane do: by a
+   few bytes, then, only within groups still equal, by the ranks of what follows at doubled
+   distance.  Kasai's common
    prefixes of neighbours give the intervals of equal strings and each one's least key: what a
    suffix shares with its predecessor, less one byte, is carried to the suffix that begins one
    byte later.  Many places of the text are walked side by side, each one as far as LANE bytes.
@@ -39,7 +41,10 @@ from ._text import U64, mix64
 
 _GOLD = U64(0x9E3779B97F4A7C15)
 _CODEC = "zstd"
+_SECOND = mix64(np.arange(256, dtype=U64) + U64(7))
 LANE = 64
+BLOCK = 1 << 17  # bytes hashed at a time; bounds memory and fits caches
+PARTS, PART_BYTES = 256, 2 << 20  # a shard's finest parts, and the bytes solved at a time
 
 
 @dataclass(frozen=True)
@@ -67,6 +72,31 @@ def _unpack(raw: bytes, kind: str) -> np.ndarray:
 # ----- chunks
 
 
+def _digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each row's text."""
+    d1, d2 = np.empty(len(offsets) - 1, U64), np.empty(len(offsets) - 1, U64)
+    for i, j in _text.chunks(offsets, BLOCK):
+        part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        hasher = _text.Hasher(part)
+        d1[i:j] = hasher(at[:-1], at[1:])
+        other = np.zeros(len(part) + 1, U64)
+        np.cumsum(_SECOND[part] * hasher.down[: len(part)], out=other[1:])
+        d2[i:j] = mix64((other[at[1:]] - other[at[:-1]]) * hasher.up[at[:-1]])
+    return d1, d2
+
+
+def _contents(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of slices in the order of their starts."""
+    out = np.empty(len(starts), U64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + BLOCK)))
+        a = int(starts[i])
+        out[i:j] = _text.Hasher(data[a : int(ends[i:j].max())])(starts[i:j] - a, ends[i:j] - a)
+        i = j
+    return out
+
+
 def _chunk(plan: Plan, schema: T.StructType):
     @_text.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,11 +106,7 @@ def _chunk(plan: Plan, schema: T.StructType):
             nonlocal seq, held, size
             tables = pa.Table.from_batches(held).combine_chunks()
             data, offsets = _text.utf8(tables.column(1))
-            hasher = _text.Hasher(data)
-            d1 = hasher(offsets[:-1], offsets[1:])
-            other = np.zeros(len(data) + 1, U64)
-            np.cumsum(mix64(data.astype(U64) + U64(7)) * hasher.down[: len(data)], out=other[1:])
-            d2 = mix64((other[offsets[1:]] - other[offsets[:-1]]) * hasher.up[offsets[:-1]])
+            d1, d2 = _digests(data, offsets)
             rest = [tables.column(i).combine_chunks() for i in range(2, tables.num_columns)]
             rest = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in rest]
             extra = pa.StructArray.from_arrays(rest, names=tables.schema.names[2:]) if rest else pa.StructArray.from_arrays([pa.nulls(tables.num_rows, pa.int8())], names=["none"])
@@ -109,31 +135,38 @@ def _chunk(plan: Plan, schema: T.StructType):
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of strings with one anchor: first start, last start, hash."""
+    """Runs of strings with one anchor: first start, last start, hash.  A run ends at the latest where a block of BLOCK starts does."""
     n = len(data) - plan.least + 1
-    if n <= 0:
+    found = [_block_anchors(data, offsets, plan, a, min(a + BLOCK, n)) for a in range(0, n, BLOCK)]
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
-    hasher = _text.Hasher(data)
-    k = plan.gram
-    low = mix64((hasher.prefix[k:] - hasher.prefix[:-k]) * hasher.down[: len(data) - k + 1])
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _block_anchors(data: np.ndarray, offsets: np.ndarray, plan: Plan, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of the strings that start from a to before b."""
+    n, k = b - a, plan.gram
+    part = data[a : b + plan.least - 1]
+    hasher = _text.Hasher(part)
+    low = mix64((hasher.prefix[k:] - hasher.prefix[:-k]) * hasher.down[: len(part) - k + 1])
     span, width = 1, plan.least - k + 1
     while span < width:
         s = min(span, width - span)
         low = np.minimum(low[:-s], low[s:])
         span += s
-    end = np.repeat(offsets[1:], np.diff(offsets))[:n]
-    whole = np.arange(n) + plan.least <= end  # the string lies in one row
+    rows = slice(max(int(np.searchsorted(offsets, a, "right")) - 1, 0), int(np.searchsorted(offsets, b, "left")))
+    ends = offsets[1:][rows]
+    end = np.repeat(ends, np.minimum(ends, b) - np.maximum(offsets[:-1][rows], a))
+    whole = np.arange(a, b) + plan.least <= end  # the string lies in one row
     begin = np.empty(n, bool)
     begin[0] = True
     begin[1:] = (low[1:] != low[:-1]) | ~whole[:-1] | (end[1:] != end[:-1])
     starts = np.flatnonzero(begin & whole)
-    if not len(starts):
-        return starts, starts, low[:0]
     stop = np.empty(n, bool)
     stop[-1] = True
     stop[:-1] = begin[1:] | ~whole[1:]
     # least hashes crowd at the low end; mixed again, they spread evenly over buckets and shards
-    return starts, np.flatnonzero(stop & whole), mix64(low[starts] ^ _GOLD)
+    return starts + a, np.flatnonzero(stop & whole) + a, mix64(low[starts] ^ _GOLD)
 
 
 def _texts(batch: pa.RecordBatch, r: int, at: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -195,6 +228,11 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
 
 
+def _part(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Which of its bucket's PARTS a hash is in; grows with the hash."""
+    return (((hashes >> U64(32)) * U64(buckets) & U64(0xFFFFFFFF)) * U64(PARTS) >> U64(32)).astype(np.uint8)
+
+
 def _distinct(mark: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Order by hash, and where each distinct one begins in it."""
     order = np.argsort(mark, kind="stable")
@@ -261,14 +299,13 @@ def _send(plan: Plan, buckets: int):
                     last = np.where(single, start, last[index])
                     row = row[index]
                     mark = mark[index]
-                    hasher = _text.Hasher(data)
-                    mark = np.where(single, hasher(start, start + plan.least), mark)
-                content = _text.Hasher(data)(start, last + plan.least) if len(start) else np.zeros(0, U64)
-                shard = _bucket(mark, buckets)
-                rank = np.lexsort((ids[row], content, shard))
-                c, s = content[rank], shard[rank]
+                    mark = np.where(single, _contents(data, start, start + plan.least), mark)
+                content = _contents(data, start, last + plan.least)
+                shard, part = _bucket(mark, buckets), _part(mark, buckets)
+                rank = np.lexsort((ids[row], content, shard * PARTS + part))
+                c, s, p = content[rank], shard[rank], part[rank]
                 new = np.ones(len(rank), bool)
-                new[1:] = (c[1:] != c[:-1]) | (s[1:] != s[:-1])
+                new[1:] = (c[1:] != c[:-1]) | (s[1:] != s[:-1]) | (p[1:] != p[:-1])
                 one = rank[new]  # the run of least key with each content
                 number = np.empty(len(rank), np.int64)
                 number[rank] = np.cumsum(new) - 1
@@ -285,10 +322,11 @@ def _send(plan: Plan, buckets: int):
                         pa.array(np.append(full, -1), pa.int64()),
                         pa.array(np.append(cut[full], 0), pa.int64()),
                         pa.array([_pack(size[cut[b] : cut[b + 1]].astype("<u4")) for b in full] + [b""], pa.binary()),
+                        pa.array([_pack(part[one[cut[b] : cut[b + 1]]]) for b in full] + [b""], pa.binary()),
                         pa.array([_pack(keys[cut[b] : cut[b + 1]]) for b in full] + [b""], pa.binary()),
                         pa.array([_pack(flat[total[cut[b]] : total[cut[b + 1]]]) for b in full] + [state_row], pa.binary()),
                     ],
-                    names=["uid", "shard", "first", "sizes", "keys", "blob"],
+                    names=["uid", "shard", "first", "sizes", "parts", "keys", "blob"],
                 )
 
     return run
@@ -412,6 +450,50 @@ def _same_bytes(x: np.ndarray) -> np.ndarray:
     return np.where(x == 0, 8, ((low >> 52) - 1023) >> 3)
 
 
+def answers_of(data: np.ndarray, size: np.ndarray, keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of strings of contents that a smaller key than the content's own has: content, first start, number, that key.
+
+    Equal contents are sorted once: of them all, a string has the least key of any content it lies in.
+    """
+    begin = np.cumsum(size) - size
+    _, one, of = np.unique(_contents(data, begin, begin + size), return_index=True, return_inverse=True)
+    low = np.full(len(one), np.iinfo(np.int64).max)
+    np.minimum.at(low, of, keys)
+    if len(one) < len(size):
+        short = size[one]
+        data = data[np.arange(int(short.sum())) + np.repeat(begin[one] - (np.cumsum(short) - short), short)]
+        size = short
+        begin = np.cumsum(size) - size
+    else:
+        size, begin = size[one], begin[one]
+    n = size - least + 1
+    base = np.cumsum(n) - n
+    owner = np.repeat(np.arange(len(size)), n)
+    within = np.arange(len(owner)) - np.repeat(base, n)
+    wanted = begin[owner] + within
+    order, group = suffix_order(data, wanted, least)
+    equal = common_prefixes(data, order, group, least) >= least
+    first = np.flatnonzero(~equal)
+    text_of = np.empty(len(data), np.int64)
+    text_of[wanted] = np.arange(len(wanted))
+    index = text_of[order]
+    least_key = np.empty(len(wanted), np.int64)
+    least_key[index] = np.repeat(np.minimum.reduceat(low[owner[index]], first), np.diff(np.append(first, len(order))))
+    new = np.ones(len(wanted), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (least_key[1:] != least_key[:-1])
+    starts = np.flatnonzero(new)
+    length = np.diff(np.append(starts, len(wanted)))
+    # each content takes the runs of the one that was sorted
+    edge = np.searchsorted(starts, np.append(base, len(wanted)))
+    runs = np.diff(edge)[of]
+    content = np.repeat(np.arange(len(of)), runs)
+    run = np.repeat(edge[of], runs) + np.arange(len(content)) - np.repeat(np.cumsum(runs) - runs, runs)
+    key = least_key[starts[run]]
+    told = key < keys[content]
+    content, run, key = content[told], run[told], key[told]
+    return content, within[starts[run]], length[run], key
+
+
 def _solve(plan: Plan):
     """For each chunk's contents, the strings that a document with a smaller key than the content's own has."""
 
@@ -419,37 +501,38 @@ def _solve(plan: Plan):
         uids = table.column("uid").to_pylist()
         sizes = [_unpack(x.as_py(), "<u4").astype(np.int64) for x in table.column("sizes")]
         keys = np.concatenate([_unpack(x.as_py(), "<i8") for x in table.column("keys")])
+        part = np.concatenate([_unpack(x.as_py(), "u1") for x in table.column("parts")])
         data = np.concatenate([_unpack(x.as_py(), "u1") for x in table.column("blob")])
         size = np.concatenate(sizes)
         begin = np.cumsum(size) - size
-        n = size - plan.least + 1
-        owner = np.repeat(np.arange(len(size)), n)
-        within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        wanted = begin[owner] + within
-        order, group = suffix_order(data, wanted, plan.least)
-        equal = common_prefixes(data, order, group, plan.least) >= plan.least
-        first = np.flatnonzero(~equal)
-        text_of = np.empty(len(data), np.int64)
-        text_of[wanted] = np.arange(len(wanted))
-        index = text_of[order]
-        low = np.minimum.reduceat(keys[owner[index]], first)
-        least = np.empty(len(wanted), np.int64)
-        least[index] = np.repeat(low, np.diff(np.append(first, len(order))))
-        smaller = least < keys[owner]
-        new = smaller.copy()
-        new[1:] &= ~smaller[:-1] | (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])
-        starts = np.flatnonzero(new)
-        run_id = np.cumsum(new) - 1
-        length = np.bincount(run_id[smaller], minlength=len(starts))
-        which = owner[starts]
+        by_part = np.argsort(part, kind="stable")
+        # whole parts, as many as have PART_BYTES
+        last = np.cumsum(np.bincount(part, weights=size, minlength=PARTS).astype(np.int64))
+        edge, p = [0], 0
+        while p < PARTS:
+            p = max(p + 1, int(np.searchsorted(last, (last[p - 1] if p else 0) + PART_BYTES, "right")))
+            edge.append(p)
+        cut = np.searchsorted(part[by_part], np.array(edge[:-1]), "left").tolist() + [len(part)]
+        found = []
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            if i == j:
+                continue
+            which = by_part[i:j]
+            m = size[which]
+            own = data[np.arange(int(m.sum())) + np.repeat(begin[which] - (np.cumsum(m) - m), m)]
+            content, *rest = answers_of(own, m, keys[which], plan.least)
+            found.append((which[content], *rest))
+        content, start, length, low = (np.concatenate(x) for x in zip(*found, strict=True))
+        by_content = np.argsort(content, kind="stable")
+        content, start, length, low = content[by_content], start[by_content], length[by_content], low[by_content]
         first_of = np.asarray(table.column("first"))
         edge = np.append(0, np.cumsum([len(s) for s in sizes]))
-        cut = np.searchsorted(which, edge)
+        cut = np.searchsorted(content, edge)
         rows = [k for k in range(len(uids)) if cut[k] < cut[k + 1]]
         answer = []
         for k in rows:
-            part = slice(cut[k], cut[k + 1])
-            answer.append(_pack(np.concatenate([which[part] - edge[k] + first_of[k], within[starts[part]], length[part], least[starts[part]]]).astype("<i8")))
+            of = slice(cut[k], cut[k + 1])
+            answer.append(_pack(np.concatenate([content[of] - edge[k] + first_of[k], start[of], length[of], low[of]]).astype("<i8")))
         return pa.table({"uid": pa.array([uids[k] for k in rows], pa.int64()), "answer": pa.array(answer, pa.binary())})
 
     return run
@@ -482,15 +565,17 @@ def _cut(plan: Plan, with_text: bool):
                 within = np.arange(len(index)) - np.repeat(np.cumsum(n) - n, n)
                 hit = least[base[number[index]] + within] < ids[row[index]]
                 place = (start[index] + within)[hit]
-                change = np.zeros(len(data) + 1, np.int64)
+                change = np.zeros(len(data) + 1, np.int32)
                 np.add.at(change, place, 1)
                 np.add.at(change, place + plan.least, -1)
-                gone = np.cumsum(change)[:-1] > 0
+                gone = np.cumsum(change, out=change)[:-1] > 0
                 for k in batch.column(at["copies"])[r].as_py() or []:
                     gone[offsets[k] : offsets[k + 1]] = True
                 first, _ = _text.runs(gone, offsets)
                 spans = np.bincount(_text.owners(first, offsets), minlength=rows) if len(first) else np.zeros(rows, np.int64)
-                removed = np.diff(np.append(0, np.cumsum(gone))[offsets])
+                upto = np.zeros(len(data) + 1, np.int32)
+                np.cumsum(gone, out=upto[1:])
+                removed = np.diff(upto[offsets].astype(np.int64))
                 kept = data[~gone].tobytes()
                 edge = offsets - np.append(0, np.cumsum(removed))
                 texts = [kept[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
@@ -526,7 +611,7 @@ def _cuts(docs: DataFrame, plan: Plan, key: str, text: str, with_text: bool) ->
     dealt = chunks.select("uid", "ids", "sizes", "d1", "blob").mapInArrow(_deal(plan, buckets), "bucket long, uid long, hashes binary, texts binary")
     told = scratch.write(dealt.groupBy("bucket").applyInArrow(_meet(plan), "uid long, bucket long, bits binary, n long"))
     by_chunk = told.groupBy("uid").agg(F.collect_list(F.struct("bucket", "bits", "n")).alias("told"))
-    sent = chunks.select("uid", "ids", "sizes", "blob").join(by_chunk, "uid").mapInArrow(_send(plan, buckets), "uid long, shard long, first long, sizes binary, keys binary, blob binary")
+    sent = chunks.select("uid", "ids", "sizes", "blob").join(by_chunk, "uid").mapInArrow(_send(plan, buckets), "uid long, shard long, first long, sizes binary, parts binary, keys binary, blob binary")
     state, sent = scratch.write_parts(sent.withColumn("is_state", F.col("shard") < 0), "is_state", compression="uncompressed")
     scratch.drop(told)
     state_table = state
