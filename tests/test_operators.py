@@ -2,6 +2,7 @@
 
 import json
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -314,3 +315,17 @@ def test_stream_answers_each_request_once(spark, tmp_path):
         follow(spark, folder, schema, table, state, E.rule_extractor, record).awaitTermination()
     got = spark.read.parquet(table)
     assert got.count() == 5 and {p.concept for p in got.first().phrases} >= {"extent_span", "margin_proximity"}
+
+
+def test_paired_tests_of_millions_of_pairs(spark):
+    """The variance of the rank sum is beyond a long, and the sign test takes no step per pair."""
+    n = 2_000_000
+    d = spark.range(n).selectExpr("'a' AS g", "0.0D AS x", "CASE WHEN id < 999000 THEN 1.0D ELSE -1.0D END AS y")
+    r = H.paired(d, ["g"], "x", "y").first()
+    # all differences tie: each rank is (n + 1) / 2
+    var = n * (n + 1) * (2 * n + 1) / 24 - (n**3 - n) / 48
+    assert r.z_wilcoxon == pytest.approx((999_000 * (n + 1) / 2 - n * (n + 1) / 4) / math.sqrt(var))
+    assert r.p_sign == pytest.approx(H.normal_two_sided((2000 - 1) / math.sqrt(n)), rel=1e-3)
+    for k, n in ((0, 5), (3, 6), (2, 7), (40, 100), (700, 1501)):
+        exact = Fraction(2 * sum(math.comb(n, i) for i in range(min(k, n - k) + 1)), 2**n)
+        assert H.binomial_two_sided(k, n) == pytest.approx(float(min(1, exact)), rel=1e-9)

@@ -25,7 +25,13 @@ def binomial_two_sided(k: int, n: int) -> float:
     if n == 0:
         return 1.0
     m = min(k, n - k)
-    return min(1.0, 2 * math.fsum(math.exp(_log_choose(n, i) - n * math.log(2)) for i in range(m + 1)))
+    total = term = 1.0  # in units of the greatest term; the others fall off within some sqrt(n) steps
+    for i in range(m, 0, -1):
+        term *= i / (n - i + 1)
+        total += term
+        if term < 1e-18 * total:
+            break
+    return min(1.0, 2 * total * math.exp(_log_choose(n, m) - n * math.log(2)))
 
 
 def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
@@ -107,8 +113,9 @@ def paired(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     moved = average_rank(d.where("__d <> 0").withColumn("__a", F.abs("__d")), by, "__a", "__ra")
     ties = moved.groupBy(*by, "__a").agg(F.count("*").alias("k"), F.sum(F.when(F.col("__d") > 0, F.col("__ra")).otherwise(0.0)).alias("w"))
     w = ties.groupBy(*by).agg(F.sum("w").alias("w_plus"), F.sum("k").alias("m"), F.sum(F.col("k") ** 3 - F.col("k")).alias("tie"))
-    var = F.col("m") * (F.col("m") + 1) * (2 * F.col("m") + 1) / 24 - F.col("tie") / 48
-    out = with_group(base, w, by).withColumns({"t": F.col("dz") * F.sqrt("n"), "z_wilcoxon": F.try_divide(F.col("w_plus") - F.col("m") * (F.col("m") + 1) / 4, F.sqrt(var))})
+    m = F.col("m").cast("double")  # its cube is beyond a long from two million pairs on
+    var = m * (m + 1) * (2 * m + 1) / 24 - F.col("tie") / 48
+    out = with_group(base, w, by).withColumns({"t": F.col("dz") * F.sqrt("n"), "z_wilcoxon": F.try_divide(F.col("w_plus") - m * (m + 1) / 4, F.sqrt(var))})
     out = out.withColumns({"p_t": p_value("t", F.col("t"), (F.col("n") - 1).cast("double")), "p_sign": p_value("binomial", F.col("n_up"), F.col("n_up") + F.col("n_down")), "p_wilcoxon": p_value("normal", F.col("z_wilcoxon"))})
     return out.drop("tie", "m")
 
