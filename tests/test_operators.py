@@ -329,3 +329,17 @@ def test_paired_tests_of_millions_of_pairs(spark):
     for k, n in ((0, 5), (3, 6), (2, 7), (40, 100), (700, 1501)):
         exact = Fraction(2 * sum(math.comb(n, i) for i in range(min(k, n - k) + 1)), 2**n)
         assert H.binomial_two_sided(k, n) == pytest.approx(float(min(1, exact)), rel=1e-9)
+
+
+def test_permuted_counts_equal_the_permuted_rows(spark, monkeypatch):
+    """Also with ties, null groups, null scores, groups of one class and few rows; no row is copied into a shuffle."""
+    rng = np.random.default_rng(2)
+    rows = [(g, i, None if rng.random() < 0.1 else float(rng.integers(0, 6)), int(rng.random() < share)) for g, n, share in (("a", 700, 0.5), (None, 300, 0.02), ("one", 40, 1.1), ("none", 40, 0.0), ("few", 1, 1.1)) for i in range(n)]
+    d = spark.createDataFrame(rows, "g string, id long, s double, y long")
+    each = d.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    mixed = X.permuted(each, ["g", "replicate"], "id", "y", F.col("replicate"), "v")
+    want = mixed.where("s IS NOT NULL").groupBy("g", "replicate", "s").agg(F.sum("v"), F.sum(1 - F.col("v"))).collect()
+    monkeypatch.setattr(X, "placed", None)
+    got = X.permuted_counts(d, ["g"], "id", "s", "y", 5).collect()
+    key = lambda r: tuple((v is not None, v) for v in r)
+    assert sorted(map(tuple, got), key=key) == sorted(map(tuple, want), key=key) and len({r.replicate for r in got}) == 5

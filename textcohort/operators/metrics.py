@@ -67,7 +67,11 @@ def binary_labels(df: DataFrame, by: list[str], truth: str, pred: str) -> DataFr
 
 def auroc_auprc(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """Area under ROC with tied scores averaged, and average precision as a step sum; null with one class."""
-    t = threshold_table(df, by, score, label)
+    return areas(threshold_table(df, by, score, label), by)
+
+
+def areas(t: DataFrame, by: list[str]) -> DataFrame:
+    """The same from positives and negatives, each and so far, per distinct score."""
     area = F.sum(F.col("pos") * (F.col("n_neg") - F.col("fp")) + 0.5 * F.col("pos") * F.col("neg"))
     step = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
     got = t.groupBy(*by).agg(F.first("n_pos").alias("n_pos"), F.first("n_neg").alias("n_neg"), area.alias("a"), step.alias("s"))

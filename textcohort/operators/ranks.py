@@ -89,6 +89,11 @@ def top_rows(df: DataFrame, by: list[str], order: list[Column], k: int, out: str
 def threshold_table(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """Per group and distinct score, from high to low: positives, negatives, and both so far."""
     d = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.sum(label).cast("long").alias("pos"), F.sum(1 - F.col(label)).cast("long").alias("neg"))
+    return thresholds(d, by, score)
+
+
+def thresholds(d: DataFrame, by: list[str], score: str) -> DataFrame:
+    """The same from a row per group and score with the counts pos and neg."""
     down = running(d, by, [F.desc(score)], bucket(score), {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True)
     total = d.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return with_group(down, total, by)

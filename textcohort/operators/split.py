@@ -7,10 +7,15 @@ and shares hold in expectation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from .ranks import placed
+from ..sources.scratch import broadcast_upto, kept
+from .ranks import bucket, placed, with_group
+
+#: Buckets of a hash whose rows are counted to find the last positive of a permutation.
+STEPS = 256
 
 
 def uniform(case: Column, *salt: Column) -> Column:
@@ -96,18 +101,50 @@ def intervals(stats: DataFrame, by: list[str], values: list[str], level: float =
 
 
 def permuted(rows: DataFrame, by: list[str], key: str, value: str, seed: Column, out: str) -> DataFrame:
-    """Rows with the value of another row of the group: that at the same place in a second hash order.
+    """Rows with the value of another row of the group: in a hash order, numbers are dealt out from the
+    greatest down (so that `permuted_counts` need not place rows), other values in a second hash order.
 
     seed may be a column that is constant in a group, so that each group has its own order.
     """
     d = rows.withColumns({"__u": uniform(F.col(key), seed, F.lit(1)), "__w": uniform(F.col(key), seed, F.lit(2))})
     first = placed(d, by, [F.col("__u"), F.col(key)], _bucket(F.col("__u")), "__i")
-    second = placed(d.select(*by, key, "__w", F.col(value).alias(out)), by, [F.col("__w"), F.col(key)], _bucket(F.col("__w")), "__j")
+    order, step = [F.col("__w"), F.col(key)], _bucket(F.col("__w"))
+    if isinstance(rows.schema[value].dataType, NumericType):  # values that tie in buckets by the second hash
+        order, step = [F.desc(out), *order], F.struct((-bucket(out)).alias("v"), F.floor(F.col("__w") * 64).alias("w"))
+    second = placed(d.select(*by, key, "__w", F.col(value).alias(out)), by, order, step, "__j")
     second = second.select(*(F.col(k).alias(f"__k_{k}") for k in by), "__j", out)
     on = [F.col("__i") == F.col("__j"), *(F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in by)]
     return first.join(second, on).select(*(F.col(f"`{c}`") for c in rows.columns), out)
 
 
+def permuted_counts(rows: DataFrame, by: list[str], key: str, score: str, label: str, repeats: int) -> DataFrame:
+    """by, replicate, score, pos, neg: how often labels 0 and 1 meet each score after each replicate's permutation.
+
+    The same as by counting what `permuted` gives per group and replicate, with the replicate as seed
+    and keys that tell a group's rows apart: positives are the first rows in the hash order.  So no row
+    is placed but those of the bucket where the last positive is; rows are read three times and only
+    counts are shuffled.  Rows without a label take no part.
+    """
+    rows = rows.where(F.col(label).isNotNull()).select(*by, key, score, label)
+    group = [*by, "replicate"]
+    replicates = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
+    each = rows.drop(label).withColumn("replicate", replicates).withColumn("__u", uniform(F.col(key), F.col("replicate"), F.lit(1))).withColumn("__b", F.floor(F.col("__u") * STEPS))
+    size = each.groupBy(*group, "__b").agg(F.count("*").alias("__n"))
+    size = size.withColumn("__before", F.sum("__n").over(Window.partitionBy(*group).orderBy("__b")) - F.col("__n"))
+    size = with_group(size, rows.groupBy(*by).agg(F.sum(label).alias("__pos")), by)
+    left = F.col("__pos") - F.col("__before")
+    cut = kept(size.where((left > 0) & (left <= F.col("__n"))).select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(group)), F.col("__b").alias("__last"), left.alias("__left")))
+    placed_ = each.join(broadcast_upto(cut, 200_000), [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(group)])
+    scored = F.col(score).isNotNull()
+    first = placed_.where((F.col("__b") < F.col("__last")) & scored).groupBy(*group, score).agg(F.count("*").alias("pos"))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("__u", key))
+    edge = placed_.where("__b = __last").withColumn("__place", place).where((F.col("__place") <= F.col("__left")) & scored)
+    n = rows.where(scored).groupBy(*by, score).agg(F.count("*").alias("n")).withColumn("replicate", replicates)
+    counts = [n.select(*group, score, "n", F.lit(0).cast("long").alias("pos"))] + [d.select(*group, score, F.lit(0).cast("long").alias("n"), "pos") for d in (first, edge.groupBy(*group, score).agg(F.count("*").alias("pos")))]
+    every = counts[0].unionByName(counts[1]).unionByName(counts[2]).groupBy(*group, score).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    return every.select(*group, score, "pos", (F.col("n") - F.col("pos")).alias("neg"))
+
+
 def shuffled(rows: DataFrame, by: list[str], value: str, seed: int, out: str) -> DataFrame:
     """Rows with another row's value within the group, in a seeded order."""
     own = rows.withColumn("__id", F.xxhash64(*rows.columns))

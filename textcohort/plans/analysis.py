@@ -11,7 +11,8 @@ from ..operators import metrics as M
 from ..operators import recode as Q
 from ..operators import split as X
 from ..sources import files as S
-from ..sources.scratch import broadcast_upto, new_path
+from ..operators.ranks import thresholds
+from ..sources.scratch import broadcast_upto, kept, new_path
 from .registry import NORM, SPACE, query, wordy
 
 #: A small lexicon for invented prose beside the shared ontology: concept and pattern.
@@ -369,10 +370,11 @@ def x09(t):
 def x10(t):
     """Each model's AUROC in each dataset, over all splits, against its labels permuted."""
     by = ["dataset_key", "model_key"]
-    p = t.pred_v.select(*by, "row_id", "y_prob", "y_bin")
-    each = p.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(49))))
-    mixed = X.permuted(each, [*by, "replicate"], "row_id", "y_bin", F.col("replicate"), "permuted")
-    null = M.auroc_auprc(mixed, [*by, "replicate"], "y_prob", "permuted").select(*by, "auroc")
+    # each row is read 50 times: in many files, which small tables would otherwise not have
+    tasks = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), t.spark.sparkContext.defaultParallelism)
+    p = kept(t.pred_v.select(*by, "row_id", "y_prob", "y_bin").repartition(tasks, "row_id"))
+    mixed = X.permuted_counts(p, by, "row_id", "y_prob", "y_bin", 50)
+    null = M.areas(thresholds(mixed, [*by, "replicate"], "y_prob"), [*by, "replicate"]).select(*by, "auroc")
     seen = M.auroc_auprc(p, by, "y_prob", "y_bin").select(*by, F.col("auroc").alias("observed"))
     return null.join(seen, by).groupBy(*by, "observed").agg(((1 + F.count_if(F.col("auroc") >= F.col("observed"))) / (1 + F.count("auroc"))).alias("p"))
 
